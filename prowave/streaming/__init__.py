@@ -1,0 +1 @@
+"""Batch only: the engine's operators have no streaming counterpart, so this package stays empty."""
