@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prowave.session import table
 
-from . import decontaminate, html_extract, line_dedup, mixing, near_dedup, substring_dedup, url_filter
+from . import ann, decontaminate, html_extract, line_dedup, mixing, near_dedup, substring_dedup, url_filter
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.filter("vec_id % 20 = 0"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_source_mixing, op4_decontamination, op6_line_dedup, op7_near_dedup, op9_substring_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_source_mixing, op4_decontamination, op5_ann, op6_line_dedup, op7_near_dedup, op9_substring_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
