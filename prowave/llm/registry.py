@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prowave.session import table
 
-from . import ann, decontaminate, html_extract, line_dedup, mixing, near_dedup, substring_dedup, url_filter
+from . import ann, decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, substring_dedup, url_filter
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -51,7 +55,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_source_mixing, op4_decontamination, op5_ann, op6_line_dedup, op7_near_dedup, op9_substring_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_source_mixing, op4_decontamination, op5_ann, op6_line_dedup, op7_near_dedup, op8_quality, op9_substring_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
