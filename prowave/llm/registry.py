@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prowave.session import table
 
-from . import ann, decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, substring_dedup, url_filter
+from . import ann, decontaminate, html_extract, line_dedup, mixing, near_dedup, quality, secret_scan, substring_dedup, url_filter
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -55,7 +59,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_source_mixing, op4_decontamination, op5_ann, op6_line_dedup, op7_near_dedup, op8_quality, op9_substring_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_url_filter, op3_source_mixing, op4_decontamination, op5_ann, op6_line_dedup, op7_near_dedup, op8_quality, op9_substring_dedup, op10_secret_scan, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
