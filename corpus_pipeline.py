@@ -1,3 +1,81 @@
-"""Placeholder for the stages, which follow."""
+"""From raw documents to a training mix, in five stages of the ``llm`` operators.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are
+written as Parquet and read again as the next one's ``docs``. All but the last
+return the columns of ``documents``; ``n_chars`` follows the text. Other columns
+of the input are left out, whatever they are called.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from prowave.llm import decontaminate, line_dedup, mixing, near_dedup, quality
+from prowave.session import checkpoint_dir, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+#: The classifier, the alignment and the index are beyond SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    return df.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    scored = quality.score(docs, table(spark, sf_dir, "labels"), keep=("lang", "source", "n_chars"), with_text=True)
+    return scored.filter("predicted = 1").select("doc_id", "text", "row.lang", "row.source", "row.n_chars")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without cross-site boilerplate lines."""
+    return _documents(line_dedup.dedup(docs, keep=("lang", "source")))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each near-duplicate class."""
+    return near_dedup.keep_one(docs, COLUMNS)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages; one that is nothing but such passages goes."""
+    found = decontaminate.search(docs, table(spark, sf_dir, "benchmark"), keep=("lang", "source"), cut=True)
+    return _documents(found.filter("n_words = 0 or n_hit < n_words").select("doc_id", "text", "row.lang", "row.source"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as it is taken, with its copy's number and its source's figures."""
+    return mixing.emit(docs, COLUMNS)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_stage),
+    ("decontamination", benchmark_stage),
+    ("mixing", mixing_stage),
+]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole ``documents``; what lies between them is written to the shared checkpoint folder."""
+    base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{base}/{k}")
+        docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            _delete(spark, f"{base}/{k - 1}")
+    return docs

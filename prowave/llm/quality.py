@@ -195,19 +195,21 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     return train([np.frombuffer(x, np.float32).reshape(-1, WIDTH) for _, x, _ in got], np.array([q for *_, q in got], float))
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), most: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted, row) of each document; ``row`` holds the columns named by ``keep``.
+def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False, most: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, held_out, score, predicted, row[, text]) of each document; ``row`` holds the columns named by ``keep``.
 
-    Null texts count as ''. Equal texts have equal scores; rows repeat. Without
+    Null texts are scored like ''. Equal texts have equal scores; rows repeat. Without
     labels of both kinds every score is the one label there is, or 0.5.
     """
     model = fit(docs, labels, most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, words in tk.each_slice(b.column("text"), tk.SPACE_WORDS):
                 p = model.score(*passages(words))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in ("doc_id", "held_out", "row")), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "row", "score", "predicted"])
+                same = {c: b.column(c).slice(lo, hi - lo) for c in ("doc_id", "held_out", "row", "text")}
+                out = {**{c: same[c] for c in ("doc_id", "held_out", "row")}, "score": pa.array(p), "predicted": pa.array((p >= threshold).astype(np.int32))} | ({"text": same["text"]} if with_text else {})
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return rows.mapInArrow(run, f"doc_id long, held_out boolean, row {rows.schema['row'].dataType.simpleString()}, score double, predicted int")
+    return rows.mapInArrow(run, f"doc_id long, held_out boolean, row {rows.schema['row'].dataType.simpleString()}, score double, predicted int" + ", text string" * with_text)
