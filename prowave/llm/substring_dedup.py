@@ -172,7 +172,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     place = F.col("at").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
     of = F.shiftright("at", _POS_BITS).alias("_of")
     marks = hits.groupBy("_id", of).agg(F.collect_list(place * 2 + F.col("hot").cast("long")).alias("seen"))
-    found = _placed(docs).join(marks, ["_id", "_of"]).select("_id", "_of", "text", "seen").mapInArrow(_windows(length), "key long, _id long, at long, hashes binary, mask int")
+    found = _placed(docs).join(marks, ["_id", "_of"]).select("_id", "_of", "doc_id", "text", "seen").mapInArrow(_windows(length), "key long, _id long, at long, hashes binary, mask int")
     later = found.repartition("key").sortWithinPartitions("key", "_id", "at").mapInArrow(_later, "_id long, at long, mask int")
     return later.groupBy("_id", of).agg(F.collect_list(place * 65536 + F.col("mask")).alias("gone"))
 
