@@ -122,7 +122,9 @@ def _grouped(ids, place, whole, seed, anchor, hot) -> Iterator[pa.RecordBatch]:
     warm = np.flatnonzero(hot)
     if len(warm):
         order = warm[np.lexsort((place[warm], ids[warm], whole[warm]))]
-        first = np.diff(whole[order], prepend=whole[order[0]] + np.uint64(1)) != 0
+        new = np.flatnonzero(np.diff(whole[order], prepend=whole[order[0]] + np.uint64(1)))
+        lead = order[np.repeat(new, np.diff(np.append(new, len(order))))]
+        first = (ids[order] == ids[lead]) & (place[order] == place[lead])  # equal rows are alike
         for part, mask in ((order[first], 0), (order[~first], 1)):
             if len(part):
                 part = np.sort(part)
@@ -135,10 +137,20 @@ def _grouped(ids, place, whole, seed, anchor, hot) -> Iterator[pa.RecordBatch]:
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (key, _id, at): (_id, at, mask) with a bit for each window that an earlier row of its key has."""
-    last, known = None, np.zeros(0, np.uint64)
+    last, known, before = None, np.zeros(0, np.uint64), None
     for b in batches:
         if not b.num_rows:
             continue
+        # Rows of equal documents stand next to each other and count once.
+        three = [b.column(c).to_numpy() for c in ("key", "_id", "at")]
+        fresh = np.ones(b.num_rows, bool)
+        fresh[1:] = np.any([c[1:] != c[:-1] for c in three], axis=0)
+        fresh[0] = before != tuple(c[0] for c in three)
+        before = tuple(c[-1] for c in three)
+        if not fresh.all():
+            b = b.filter(pa.array(fresh))
+            if not b.num_rows:
+                continue
         key, mask = b.column("key").to_numpy(), b.column("mask").to_numpy().astype(np.int64)
         col = b.column("hashes")
         off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
