@@ -8,12 +8,10 @@ of the input are left out, whatever they are called.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prowave.llm import decontaminate, line_dedup, mixing, near_dedup, quality
-from prowave.session import checkpoint_dir, table
+from prowave.session import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -61,21 +59,12 @@ STAGES = [
 ]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents``; what lies between them is written to the shared checkpoint folder."""
-    base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{base}/{k}")
-        docs = spark.read.parquet(f"{base}/{k}")
-        if k:
-            _delete(spark, f"{base}/{k - 1}")
-    return docs
+    docs, forget = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs, after = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if forget:
+            forget()
+        forget = after
+    return STAGES[-1][1](spark, docs, sf_dir)
