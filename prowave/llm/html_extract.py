@@ -26,18 +26,18 @@ BLOCK = frozenset(
     "table tbody td tfoot th thead title tr ul".split()
 )
 RAW = ("script", "style", "title", "textarea", "template", "noscript", "iframe", "noframes", "svg", "object", "select", "button", "audio", "video", "canvas", "math")
-FURNITURE = frozenset("nav footer header aside form menu dialog search".split())
+FURNITURE = frozenset("nav footer header aside menu dialog search".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 FURNITURE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
+    "ad ads adsbygoogle advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
     "popup modal overlay newsletter subscribe subscription signup nav navbar navigation menu breadcrumb breadcrumbs sidebar sidebars rail "
     "widget widgets related recommended recommendations share sharing social comment comments disqus reply replies respond footer header "
     "masthead login search toolbar pager pagination skip disclaimer alert".split()
 )
 
 #: A class mark by one of these holds whatever the element contains.
-FIRM_WORDS = frozenset("ad ads advert adverts advertisement advertising comment comments disqus reply replies respond related recommended recommendations cookie cookies consent gdpr notice notices newsletter".split())
-#: Other class marks give way on an element around an article, or around more than this share of the page's text.
+FIRM_WORDS = frozenset("ad ads adsbygoogle advert adverts advertisement advertising comment comments disqus reply replies respond related recommended recommendations cookie cookies consent gdpr notice notices newsletter".split())
+#: Other class marks, and forms, give way on an element around an article; on a page without one, around more than this share of its text.
 WRAPPER_SHARE = 0.6
 
 _TAG = re.compile(
@@ -48,7 +48,8 @@ _TAG = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|(?=[\s/]|$))", re.I)
-_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_WORDS = re.compile(r"[A-Za-z]+")
+_CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 WINDOW_LINES = 3
 SURGE_SHARE = 0.25
@@ -56,12 +57,12 @@ SURGE_SHARE = 0.25
 
 def _is_furniture(name: str, attrs: str) -> tuple[bool, int]:
     """Whether an element's name or role marks page furniture; 1 if its class or id does, 2 if firmly, else 0."""
-    soft = 0
+    soft = int(name == "form")  # some pages are one form
     for key, value in _ATTR.findall(attrs) if attrs else ():
         key, value = key.lower(), value.strip("\"'")
         if key == "role" and value.lower() in FURNITURE_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True, 0
-        if key in ("class", "id") and (found := {w.lower() for w in _WORD.findall(value)} & FURNITURE_WORDS):
+        if key in ("class", "id") and (found := {x.lower() for w in _WORDS.findall(value) for x in (w, *_CAMEL.findall(w))} & FURNITURE_WORDS):
             soft = max(soft, 2 if found & FIRM_WORDS else 1)
     return name in FURNITURE, soft if name not in ("html", "body", "main") and (name != "article" or soft == 2) else 0
 
@@ -171,7 +172,8 @@ def page_lines(html: str) -> list[tuple[str, int, int, bool]]:
         for k in soft if not hard else ():
             held[k] = held.get(k, 0) + len(t)
     total = sum(len(t) for t, _, _, hard in lines if not hard)
-    wrappers.update(k for k, n in held.items() if n > WRAPPER_SHARE * total and k not in firm)
+    if not articles:
+        wrappers.update(k for k, n in held.items() if n > WRAPPER_SHARE * total and k not in firm)
     return [(t, a, art, hard or any(k not in wrappers for k in soft)) for (t, a, art, hard), soft in zip(lines, soft_of, strict=True)]
 
 

@@ -188,6 +188,8 @@ def test_candidates():
         ("<div class='page with-sidebar'><div class=menu><a>a</a></div><p>A long enough text of this page, with words.</p><p>z</p></div>", "A long enough text of this page, with words.\nz"),
         ("<main><p title='a>b'>q&nbsp; r</p><!-- <p>no</p> --><noscript>js</noscript><div class=cookie-notice>c</div></main>", "q r"),
         ("<article><p>cut off &am", "cut off &am"),
+        ("<form id=aspnetForm><div class=SideBar>s</div><article><p>in a form</p><form>mail</form></article></form>", "in a form"),
+        ("<div role=alert>a</div><div hidden>h</div><article><p>y</p><div id=navMenu>n</div></article>", "y"),
         ("<nav><ul><li><a href=x>m</a><article><p>left open</p></article>", "left open"),
     ],
 )
