@@ -50,8 +50,16 @@ def fixed_depth(weights: DataFrame, seeds: DataFrame, columns: list[str], alpha:
     return y
 
 
-def start_state(seeds: DataFrame, columns: list[str], budget: float) -> DataFrame:
-    """(id, r_*, m_*): scaled seeds as residuals; nodes whose seeds are all 0 are left out."""
+def first_threshold(edges: int, n: int, budget: float, alpha: float) -> float:
+    """The seed size from which a node is worth pushing at first: mean degree times the ladder's first step, over 4 (1 - alpha)."""
+    first = int(max(budget / (1000 * math.log(n)), 1.0))
+    step = int(max(first ** (1 / 3), 2.0))
+    return edges / n * first / step / (1 - alpha) / 4
+
+
+def start_state(seeds: DataFrame, columns: list[str], budget: float, queries: DataFrame | None = None) -> DataFrame:
+    """(id, r_*, m_*): scaled seeds as residuals; nodes whose seeds are all 0, or that aren't among the queries, are left out."""
+    seeds = seeds if queries is None else seeds.join(queries.select("id"), "id", "left_semi")
     some = reduce(lambda a, b: a | b, [F.col(c) != 0 for c in columns])
     return seeds.filter(some).select("id", *[(F.col(c) * budget).alias(f"r_{c}") for c in columns], *[F.lit(0.0).alias(f"m_{c}") for c in columns])
 

@@ -54,6 +54,28 @@ def sample_nodes(nodes: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return nodes.select("id").orderBy(lcg(F.col("id"), seed), "id").limit(k)
 
 
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Ids of ``a`` that aren't in ``b``, each once."""
+    return a.select("id").distinct().join(b.select("id"), "id", "left_anti")
+
+
+def union(*sets: DataFrame) -> DataFrame:
+    """Ids of all sets, each once."""
+    out = sets[0].select("id")
+    for s in sets[1:]:
+        out = out.unionAll(s.select("id"))
+    return out.distinct()
+
+
+def reindex(split: DataFrame) -> DataFrame:
+    """(id, split, row): rows in the order train, val, test and by id, numbered from 0 by two-level sums."""
+    from .graph import prefix_sum
+
+    order = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).otherwise(2)
+    keyed = split.select("id", "split", (order * (1 << 48) + F.col("id")).alias("key"))
+    return prefix_sum(keyed, "key", F.lit(1), "row").select("id", "split", "row")
+
+
 def role_lists(split: DataFrame) -> DataFrame:
     """(split, ids): the sorted ids of each set. For export of small graphs: a set is one row."""
     return split.groupBy("split").agg(F.array_sort(F.collect_list("id")).alias("ids"))

@@ -43,6 +43,30 @@ def split_stratify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_stratified(_nodes(spark, sf_dir), 100, 50)
 
 
+@query(f"WITH {RANDOM_SQL} SELECT id, split, (row_number() OVER (ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END, id) - 1)::BIGINT AS row FROM s")
+def split_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.reindex(splits.split_random(_nodes(spark, sf_dir), 100, 50))
+
+
+@query(f"WITH {RANDOM_SQL} SELECT id FROM s WHERE split = 'test' OR label = 3")
+def index_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(spark, sf_dir)
+    return splits.union(splits.split_random(nodes, 100, 50).filter("split = 'test'"), nodes.filter("label = 3"))
+
+
+@query(f"WITH {RANDOM_SQL} SELECT id FROM s WHERE split <> 'train'")
+def index_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(spark, sf_dir)
+    return splits.difference(nodes, splits.split_random(nodes, 100, 50).filter("split = 'train'"))
+
+
+@query("SELECT label, size, (SELECT max(label) + 1 FROM embeddings) AS classes FROM (SELECT label, count(*)::BIGINT AS size FROM embeddings GROUP BY label)")
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nodes(spark, sf_dir)
+    classes = nodes.agg(F.max("label") + 1).first()[0]
+    return nodes.groupBy("label").agg(F.count(F.lit(1)).alias("size")).withColumn("classes", F.lit(classes))
+
+
 @query(f"WITH {RANDOM_SQL} SELECT split, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM s GROUP BY split")
 def role_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.role_lists(splits.split_random(_nodes(spark, sf_dir), 100, 50)).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))

@@ -90,6 +90,30 @@ def seed_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shares(state, budget)
 
 
+_FIRST_SQL = "floor(greatest(w.w / (1000 * ln(c.n)), 1))"
+
+
+@query(f"""WITH {fx.SQL_PS}, {START_SQL}, c AS (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM e) AS m),
+t AS (SELECT m / n::DOUBLE * {_FIRST_SQL} / floor(greatest(pow({_FIRST_SQL}, 1.0::DOUBLE / 3), 2)) / 0.8::DOUBLE / 4 AS t FROM w, c)
+SELECT id, y * 1000 > (SELECT t FROM t) AS active FROM seed WHERE y <> 0""")
+def first_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, n = fx.part_supplier(spark, sf_dir)
+    least = propagate.first_threshold(e.count(), n, propagate.walk_budget(n, EPSILON), ALPHA)
+    return fx.supplier_seed(spark, sf_dir).filter("y <> 0").select("id", (F.col("y") * 1000 > least).alias("active"))
+
+
+@query(push_sql(fx.SQL_PS, START_SQL.replace("WHERE x <> 0", "WHERE x <> 0 AND id % 3 = 0"), 2) + " SELECT id, round(r / (SELECT w FROM w), 9) + 0.0 AS r, round(m / (SELECT w FROM w), 9) + 0.0 AS m FROM s2")
+def push_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds of a subset of nodes only."""
+    e, n = fx.part_supplier(spark, sf_dir)
+    weights, budget = graph.weighted(e), propagate.walk_budget(n, EPSILON)
+    degree = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    state = propagate.start_state(fx.supplier_seed(spark, sf_dir), ["x"], budget, spark.range(0, n + 2, 3))
+    for _ in range(2):
+        state = propagate.push_round(weights, degree, state, ["x"], ALPHA)
+    return _shares(state, budget)
+
+
 @query(push_sql(fx.SQL_PS, START_SQL, 2) + " SELECT id, round(r / (SELECT w FROM w), 9) + 0.0 AS r, round(m / (SELECT w FROM w), 9) + 0.0 AS m FROM s2")
 def push_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     state, budget, _, _ = _state(spark, sf_dir, 2)

@@ -189,3 +189,19 @@ def test_config(tmp_path):
     for bad in ({"alfa": 1}, {"algo": "other"}):
         with pytest.raises(ValueError):
             Config().having(bad)
+
+
+@pytest.mark.parametrize("algo", ["featpush", "featreuse", "featpca"])
+def test_command(spark, tmp_path, algo):
+    from prowave import run
+
+    rng = np.random.default_rng(6)
+    y = np.arange(60) % 3
+    x = np.eye(3)[y] @ rng.standard_normal((3, 8)) + 0.2 * rng.standard_normal((60, 8))
+    edges = [(i, j) for i in range(60) for j in range(60) if i != j and y[i] == y[j] and (i + j) % 4 == 0] + [(i, (i + 1) % 60) for i in range(59)]
+    spark.createDataFrame(edges, "src long, dst long").write.parquet(str(tmp_path / "e"))
+    spark.createDataFrame([(i, x[i].tolist()) for i in range(60)], "id long, embedding array<double>").write.parquet(str(tmp_path / "x"))
+    spark.createDataFrame([(i, int(y[i])) for i in range(60)], "id long, label int").write.parquet(str(tmp_path / "l"))
+    args = ["--edges", str(tmp_path / "e"), "--features", str(tmp_path / "x"), "--labels", str(tmp_path / "l"), "--out", str(tmp_path / "o"), "--set", f"algo={algo}", "alpha=0.5", "epsilon=4", "hidden=16", "epochs=40", "rrz=0.5", "layer=2"]
+    assert run.main(["precompute", *args])["path"].endswith(f"{algo}_0/score_0.5_4")
+    assert run.main(["train", *args])["test"] > 0.6
