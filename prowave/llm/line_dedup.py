@@ -29,11 +29,17 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR)
     spread = lines.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sites"), F.min(F.struct("_id", "_of", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
     spread = spread.filter(F.col("n") >= min_sites).withColumn("about", F.hll_sketch_estimate("sites")).filter(F.col("about") >= min_sites * (1 - near)).select("h", "g", "first", "about")
     close = spread.filter(F.col("about") <= min_sites * (1 + near)).select("h", "g")
-    exact = lines.join(close, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.countDistinct("site").alias("sites")).filter(F.col("sites") >= min_sites)
+    exact = lines.join(*_by_line(lines, close), "left_semi").groupBy("h", "g").agg(F.countDistinct("site").alias("sites")).filter(F.col("sites") >= min_sites)
     sure = spread.filter(F.col("about") > min_sites * (1 + near)).select("h", "g", "first")
     return sure.unionByName(spread.join(exact.select("h", "g"), ["h", "g"], "left_semi").select("h", "g", "first"))
 
 
+def _by_line(lines: DataFrame, found: DataFrame) -> tuple[DataFrame, Column]:
+    """``found`` and how to join it with ``lines``. The turned hash makes Spark exchange both sides for the join, so that it can split a frequent line."""
+    turned = found.select(F.bitwise_not("h").alias("_h"), F.col("g").alias("_g"), *[c for c in found.columns if c not in "hg"])
+    return turned, (F.bitwise_not(lines["h"]) == turned["_h"]) & (lines["g"] == turned["_g"])
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(_id, _of, line, h, g, site) of each line that isn't blank."""
     each = docs.select(*_keys(docs), F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("")), F.col("source").isNull()).alias("site"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line", "s"))
@@ -48,9 +54,7 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = (), min_sites: int = MIN_SITE
     ``docs`` that aren't named don't matter, whatever they are called.
     """
     lines = _lines(docs)
-    bad = boilerplate(docs, min_sites)
-    bad = bad.select(F.col("h").alias("_h"), F.col("g").alias("_g"), "first")
-    hits = lines.join(bad, (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))).filter(F.struct("_id", "_of", "line") != F.col("first"))
+    hits = lines.join(*_by_line(lines, boilerplate(docs, min_sites))).filter(F.struct("_id", "_of", "line") != F.col("first"))
     gone = hits.groupBy("_id", "_of").agg(F.collect_set("line").alias("gone"))
     rows = docs.select(*_keys(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("row"))
     joined = rows.join(gone, ["_id", "_of"], "left")
