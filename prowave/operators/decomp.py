@@ -7,13 +7,17 @@ applied to all nodes by DataFrame operators (``reuse.reduce_by``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .splits import sample_nodes
 
 MAX_ROWS = 50_000
-TOLERANCE = 1e-3
+#: When an iteration has come near enough, how fast its penalty grows, the least sparsity factor.
+TOLERANCE, GROWTH, LEAST_TIMES = 1e-3, 1.5, 4.0
 
 
 def shrink(x: np.ndarray, tol: float) -> np.ndarray:
@@ -38,54 +42,61 @@ def pseudo_inverse(a: np.ndarray, rank: int, least: float = 1e-6) -> np.ndarray:
     return (v * np.where(s > least, 1 / np.maximum(s, least), 0)) @ u.T
 
 
-def robust_pca(m: np.ndarray, rank: int, times: float = 4.0, rounds: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(low-rank, sparse) parts by augmented Lagrange multipliers: a truncated SVD and a soft threshold in turn."""
+@dataclass
+class Multipliers:
+    """An augmented Lagrangian for m = low + sparse: the penalty ``mu`` grows by ``GROWTH`` a round up to a limit, ``weight`` is the sparse part's."""
+
+    m: np.ndarray
+    weight: float
+    mu: float
+    z: np.ndarray
+
+    def solve(self, low_of: Callable[[np.ndarray, float], np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """(low, sparse): in turn, ``low_of`` (what isn't sparse, penalty) and a soft threshold, until what is left is small."""
+        limit, enough = self.mu / TOLERANCE, TOLERANCE * np.linalg.norm(self.m)
+        low = sparse = np.zeros_like(self.m)
+        for _ in range(rounds):
+            pull = self.m + self.z / self.mu
+            low = low_of(pull - sparse, self.mu)
+            sparse = shrink(pull - low, self.weight / self.mu)
+            left = self.m - low - sparse
+            if np.linalg.norm(left) < enough:
+                break
+            self.z = self.z + self.mu * left
+            self.mu = min(self.mu * GROWTH, limit)
+        return low, sparse
+
+
+def _penalty(m: np.ndarray, share: float) -> float:
+    return m.size / (share * max(np.abs(m).sum(), 1e-30))
+
+
+def robust_pca(m: np.ndarray, rank: int, times: float = LEAST_TIMES, rounds: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(low-rank, sparse) parts; the rank looked for rises while all singular values found pass the penalty's threshold."""
     if m.shape[0] < m.shape[1]:
         low, sparse = robust_pca(m.T, rank, times, rounds)
         return low.T, sparse.T
-    rows, cols = m.shape
-    norm, size = np.linalg.norm(m), max(np.abs(m).sum(), 1e-30)
-    weight = max(times, 4.0) * rank / (4 * np.sqrt(rows + cols))
-    mu = cols * rows / (4 * size)
-    most = mu / TOLERANCE
+    weight = max(times, LEAST_TIMES) * rank / (4 * np.sqrt(sum(m.shape)))
     spectral = randomized_svd(m, 5, 2, 1)[1][0]
-    z = m / max(max(spectral, np.abs(m).max(initial=0)) * weight, 1e-30)
-    low, sparse = np.zeros_like(m), np.zeros_like(m)
-    grow = wanted = max(1, -(-rank // rounds))
-    for _ in range(rounds):
-        goal = m + z / mu
-        k = min(wanted, *m.shape)
-        u, s, v = randomized_svd(goal - sparse, k, -(-k // 5) + 1, 1)
+    start = m / max(max(spectral, np.abs(m).max(initial=0)) * weight, 1e-30)
+    rise = max(1, -(-rank // rounds))
+    looked = [rise]
+
+    def truncated(x: np.ndarray, mu: float) -> np.ndarray:
+        k = min(looked[-1], *m.shape)
+        u, s, v = randomized_svd(x, k, -(-k // 5) + 1, 1)
         big = int((s > 1 / mu).sum())
-        low = (u[:, :big] * s[:big]) @ v[:, :big].T
-        wanted += 1 if big < wanted else grow
-        sparse = shrink(goal - low, weight / mu)
-        left = m - low - sparse
-        if np.linalg.norm(left) < TOLERANCE * norm:
-            break
-        z = z + mu * left
-        mu = min(mu * 1.5, most)
-    return low, sparse
-
-
-def fixed_basis(m: np.ndarray, basis: np.ndarray, times: float = 4.0, rounds: int = 10) -> np.ndarray:
+        looked.append(k + (1 if big < k else rise))
+        return (u[:, :big] * s[:big]) @ v[:, :big].T
+
+    return Multipliers(m, weight, _penalty(m, 4), start).solve(truncated, rounds)
+
+
+def fixed_basis(m: np.ndarray, basis: np.ndarray, times: float = LEAST_TIMES, rounds: int = 10) -> np.ndarray:
     """Weights (bases, features) with m about basis @ weights beside a sparse part."""
-    rows, cols = m.shape
-    rank = basis.shape[1]
-    weight = max(times, 4.0) * rank / np.sqrt(rows + cols)
-    mu = cols * rows / (16 * max(np.abs(m).sum(), 1e-30))
-    most, norm = mu / TOLERANCE, np.linalg.norm(m)
-    inverse = pseudo_inverse(basis, rank)
-    z, sparse = np.zeros_like(m), np.zeros_like(m)
-    for _ in range(rounds):
-        goal = m + z / mu
-        low = basis @ shrink(inverse @ (goal - sparse), TOLERANCE * 10)
-        sparse = shrink(goal - low, weight / mu)
-        left = m - low - sparse
-        if np.linalg.norm(left) < TOLERANCE * norm:
-            break
-        z = z + mu * left
-        mu = min(mu * 1.5, most)
+    inverse = pseudo_inverse(basis, basis.shape[1])
+    weight = max(times, LEAST_TIMES) * basis.shape[1] / np.sqrt(sum(m.shape))
+    _, sparse = Multipliers(m, weight, _penalty(m, 16), np.zeros_like(m)).solve(lambda x, _: basis @ shrink(inverse @ x, TOLERANCE * 10), rounds)
     return inverse @ (m - sparse)
 
 
