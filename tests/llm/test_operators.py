@@ -110,6 +110,8 @@ def test_near_dedup(spark, corpus, monkeypatch, small):
     kept = near_dedup.keep_one(table(spark, corpus), ("doc_id", "text", "source")).collect()
     assert {r["doc_id"] for r in kept} == set(want.values())
     assert near_dedup.classes(empty(spark)).count() == 0
+    alone = near_dedup.classes(table(spark, [(1, "a b c d e f", "s"), (2, "g h i j k l", "s")])).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["keep"]) for r in alone) == [(1, 1, True), (2, 2, True)]
 
 
 def test_chains_and_hubs_are_one_component(spark):
