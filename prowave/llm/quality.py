@@ -13,6 +13,7 @@ score sees nothing but the text.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -140,11 +141,11 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
     if not len(labels) or labels.min() == labels.max():
         return Model({}, np.zeros(WIDTH), np.ones(WIDTH), float(labels[0]) if len(labels) else 0.5)
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags).astype(np.float64)
-    m = Model({}, every.mean(0), every.std(0) + 0.02)
+    n = sum(len(b) for b in bags)
+    shift = sum(b.sum(0, dtype=np.float64) for b in bags) / n
+    m = Model({}, shift, np.sqrt(np.maximum(0, sum(((b - shift) ** 2).sum(0) for b in bags) / n)) + 0.02)
     init = lambda *shape: rng.standard_normal(shape) / np.sqrt(shape[0])
     m.w = {"encode": init(WIDTH, HIDDEN), "encode_b": np.zeros(HIDDEN), "value": init(HIDDEN, ATTENTION), "gate": init(HIDDEN, ATTENTION), "attend": init(ATTENTION), "out": init(HIDDEN), "out_b": np.full(1, np.log(labels.mean() / (1 - labels.mean())))}
-    bags = [(b - m.shift) / m.scale for b in bags]
     first, second = ({k: np.zeros_like(v) for k, v in m.w.items()} for _ in range(2))
     mean, kept, step, size = {k: np.zeros_like(v) for k, v in m.w.items()}, 0, 0, 64
     steps = epochs * -(-len(bags) // size)
@@ -152,7 +153,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
         order = rng.permutation(len(bags))
         for at in range(0, len(order), size):
             pick = order[at : at + size]
-            x = np.concatenate([bags[i] for i in pick])
+            x = (np.concatenate([bags[i] for i in pick]) - m.shift) / m.scale  # a batch at a time: the features stay 32-bit
             start = np.cumsum([0, *(len(bags[i]) for i in pick[:-1])])
             step += 1
             for k, g in m.gradients(x, start, labels[pick]).items():
@@ -190,9 +191,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     chosen = known.groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("quality")).withColumn("turn", F.xxhash64(F.lit("quality"), "doc_id")).orderBy("turn", "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # At most ``most`` rows of three numbers are broadcast.
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality", "turn").mapInArrow(_features, "quality int, turn long, x binary").toArrow()
-    got = sorted(zip(rows.column("turn").to_pylist(), rows.column("x").to_pylist(), rows.column("quality").to_pylist(), strict=True))
-    return train([np.frombuffer(x, np.float32).reshape(-1, WIDTH) for _, x, _ in got], np.array([q for *_, q in got], float))
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality", "turn").mapInArrow(_features, "quality int, turn long, x binary")
+    # The sample is bounded, so one task trains on it, and the driver gets the weights alone.
+    return pickle.loads(bytes(rows.repartition(1).mapInArrow(_train, "model binary").first()["model"]))
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    t = pa.Table.from_batches(list(batches), pa.schema([("quality", pa.int32()), ("turn", pa.int64()), ("x", pa.binary())]))
+    got = sorted(zip(t.column("turn").to_pylist(), t.column("x").to_pylist(), t.column("quality").to_pylist(), strict=True))
+    model = train([np.frombuffer(x, np.float32).reshape(-1, WIDTH) for _, x, _ in got], np.array([q for *_, q in got], float))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False, most: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
