@@ -10,9 +10,12 @@ connected components of the links.
 
 Texts of equal words are one node from the start. A bucket of up to ``SMALL``
 nodes is compared whole. In a larger one all are compared with its smallest
-node; those of another component then meet again in buckets of two bands at
-once. So pairs grow with the table, not with the square of a group. Bands come
-in two lots, and the second only brings together what the first hasn't linked.
+node; then further nodes become heads, four times as many each round, and are compared
+with all of another component, until no bucket holds a pair of two components
+that wasn't compared. A group that is one component by then costs one pair a
+node; only texts that share a bucket and aren't alike are compared pair by pair.
+Bands come in two lots, and the second only brings together what the first
+hasn't linked.
 Before texts are fetched, a pair's minima are compared: of the 60 of both, at
 least ``AGREE`` must match by rank (0.8 similar texts match 39 on average, with
 a deviation of 5.4; texts that share a common passage alone match a few).
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from prowave.session import cut_lineage, written
 
@@ -176,18 +179,50 @@ def _verify(least: float):
     return run
 
 
-def _pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (key, node, label, n): (u, v) to compare, of other labels, and (key, node, n, head) of buckets over SMALL. Pairs whose lengths rule a link out are left out."""
-    heads = rows.groupBy("key").agg(F.min(F.struct("node", "label")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+def _fits(a: Column, b: Column) -> Column:
+    """Whether the lengths allow a link."""
+    return F.least(a, b) >= F.lit(SIMILARITY) * F.greatest(a, b)
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(u, v) to compare, of other labels, from (key, node, label, n): all of a bucket of up to SMALL, else each node with the smallest. Pairs whose lengths rule a link out are left out."""
+    heads = rows.groupBy("key").agg(F.min(F.struct("node", "label", "n")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     # The turned key makes Spark exchange both sides of the join, so that it can split a large bucket.
-    heads = heads.select(F.bitwise_not("key").alias("turned"), F.col("head.node").alias("head"), F.col("head.label").alias("head_label"), "size")
+    heads = heads.select(F.bitwise_not("key").alias("turned"), F.col("head.node").alias("head"), F.col("head.label").alias("head_label"), F.col("head.n").alias("head_n"), "size")
     met = rows.join(heads, (F.bitwise_not("key") == F.col("turned")) & ((F.col("size") <= SMALL) | (F.col("label") != F.col("head_label"))))
-    fits = lambda a, b: F.least(a, b) >= F.lit(SIMILARITY) * F.greatest(a, b)
     small = met.filter(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "label", "n")).alias("all"))
-    other = lambda a, b: (a["node"] < b["node"]) & (a["label"] != b["label"]) & fits(a["n"], b["n"])
+    other = lambda a, b: (a["node"] < b["node"]) & (a["label"] != b["label"]) & _fits(a["n"], b["n"])
     found = F.flatten(F.transform("all", lambda a: F.transform(F.filter("all", lambda b: other(a, b)), lambda b: F.struct(a["node"].alias("u"), b["node"].alias("v")))))
-    large = met.filter(F.col("size") > SMALL).select("key", "node", "n", "head")
-    return small.select(F.explode(found).alias("p")).select("p.u", "p.v").unionByName(large.select(F.col("head").alias("u"), F.col("node").alias("v"))), large
+    large = met.filter((F.col("size") > SMALL) & _fits(F.col("n"), F.col("head_n"))).select(F.col("head").alias("u"), F.col("node").alias("v"))
+    return small.select(F.explode(found).alias("p")).select("p.u", "p.v").unionByName(large)
+
+
+def _open(rows: DataFrame, been: DataFrame | None) -> DataFrame:
+    """(key, node, n, label, share, most): of (key, node, n, label), buckets with two labels or more among the nodes that haven't been heads.
+
+    ``share`` is how many of the bucket's nodes have the label, ``most`` the label that most have.
+    """
+    if been is not None:
+        rows = rows.join(been, ["key", "node"], "left_anti")
+    share = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("share"))
+    open_ = share.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("share", "label")).alias("most")).filter("labels > 1")
+    share = share.withColumnsRenamed({"key": "of", "label": "named"}).join(open_.select(F.col("key").alias("open"), F.col("most.label").alias("most")), F.col("of") == F.col("open"))
+    share = share.select(F.bitwise_not("of").alias("turned"), "named", "share", "most")
+    return rows.join(share, (F.bitwise_not("key") == F.col("turned")) & (F.col("label") == F.col("named"))).select("key", "node", "n", "label", "share", "most")
+
+
+def _heads(rest: DataFrame, count: int) -> DataFrame:
+    """(key, node, n, label): up to ``count`` new heads of each open bucket, of the labels with the fewest nodes first and none of the label with the most."""
+    slot = F.pmod(F.xxhash64("node"), F.lit(count))
+    first = rest.filter(F.col("label") != F.col("most")).groupBy("key", slot.alias("slot")).agg(F.min(F.struct("share", "label", "node", "n")).alias("head"))
+    return first.select("key", "head.node", "head.n", "head.label")
+
+
+def _with_heads(rest: DataFrame, heads: DataFrame) -> DataFrame:
+    """(u, v) to compare: each head with all nodes of its bucket that have another label."""
+    heads = heads.select(F.bitwise_not("key").alias("turned"), F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("label").alias("head_label"))
+    met = rest.join(heads, (F.bitwise_not("key") == F.col("turned")) & (F.col("label") != F.col("head_label")) & _fits(F.col("n"), F.col("head_n")))
+    return met.select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v"))
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -242,11 +277,11 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     nodes = cut_lineage(sketches.groupBy("s1", "s2").agg(F.min(F.struct("_id", "_of")).alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("minima").alias("minima")))
     # Only buckets of two or more nodes matter from here on, and only the texts of nodes in one.
     spread = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.bitwise_not("key").alias("turned"))
-    shared = cut_lineage(spread.join(shared, F.bitwise_not("key") == F.col("turned"), "left_semi"))
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.bitwise_not("key").alias("turned"), "size")
+    shared = cut_lineage(spread.join(shared, F.bitwise_not("key") == F.col("turned")).drop("turned"))
     wanted = shared.select("node").distinct().select("node._id", "node._of")
     texts, forget = written(rows.select("_id", "_of", "text").join(wanted, ["_id", "_of"], "left_semi").select(F.struct("_id", "_of").alias("node"), "text"), "near-texts")
-    links = labels = leftover = None
+    links = labels = None
 
     def add(more: DataFrame) -> None:
         nonlocal links, labels
@@ -259,19 +294,23 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     for first, last in LOTS:
         known = shared.filter(F.col("band").between(first, last)).select("node", "n", "key")
         known = known.withColumn("label", F.col("node")) if labels is None else known.join(label("node"), F.col("node") == F.col("node_"), "left").withColumn("label", F.coalesce("node_label", "node"))
-        pairs, large = _pairs(known)
-        large = cut_lineage(large)
-        leftover = large if leftover is None else leftover.unionByName(large)
-        add(cut_lineage(_links(pairs, nodes, texts, least)))
-    if not leftover.isEmpty():
-        # What isn't with its bucket's head yet meets again, by this band and another at once.
-        left = leftover.join(label("node"), F.col("node") == F.col("node_"), "left").join(label("head"), F.col("head") == F.col("head_"), "left")
-        left = left.withColumn("label", F.coalesce("node_label", "node")).filter(F.col("label") != F.coalesce("head_label", "head")).select("key", "node", "label", "n")
-        again = left.join(nodes.select(F.col("node").alias("of"), "bands"), F.col("node") == F.col("of")).select("node", "label", "n", "key", F.explode("bands").alias("other"))
-        again = again.filter(F.col("key") != F.col("other")).select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "label", "n").distinct()
-        links = links.unionByName(cut_lineage(_links(_pairs(again)[0], nodes, texts, least)))
-    forget()
+        add(cut_lineage(_links(_pairs(known), nodes, texts, least)))
+    # Large buckets only met their first head; further heads follow until no pair of two components is left.
+    large, been, heads = shared.filter(F.col("size") > SMALL).select("node", "n", "key"), None, SMALL
     labels = components(links)
+    while True:
+        known = large.join(label("node"), F.col("node") == F.col("node_"), "left").select("key", "node", "n", F.coalesce("node_label", "node").alias("label"))
+        rest = cut_lineage(_open(known, been))
+        if rest.isEmpty():
+            break
+        turn = cut_lineage(_heads(rest, heads))
+        more = cut_lineage(_links(_with_heads(rest, turn), nodes, texts, least))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+        been = turn.select("key", "node") if been is None else been.unionByName(turn.select("key", "node"))
+        heads *= 4
+    forget()
     named = nodes.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.bitwise_not("s1").alias("t1"), F.bitwise_not("s2").alias("t2"), F.coalesce("label", "node").alias("class"))
     member = sketches.join(named, (F.bitwise_not("s1") == F.col("t1")) & (F.bitwise_not("s2") == F.col("t2"))).select("_id", "_of", "class").distinct()
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_id"), F.xxhash64(text).alias("_of"), F.col("doc_id").cast("long").alias("doc_id"))
