@@ -20,14 +20,15 @@ def walk_step(walks: DataFrame, slots: DataFrame, step: int, alpha: float | None
     """(walk, cur, done) after one step: with chance ``alpha`` a walk stops (null: never), else it goes to a random neighbour.
 
     ``walks`` has (walk, cur, done), ``slots`` has (src, dst, slot, degree). A
-    walk at a dead end stops there.
+    walk at a dead end stops there. Further columns of ``walks`` stay.
     """
     stop = F.lit(False) if alpha is None else _draw(F.col("walk"), step, 0) < alpha * _RANGE
+    kept = [c for c in walks.columns if c not in ("cur", "done")]
     w = walks.withColumn("done", F.col("done") | stop).withColumn("pick", _draw(F.col("walk"), step, 500))
     degree = slots.filter("slot = 0").select(F.col("src").alias("at"), "degree")
     w = w.join(degree, F.col("cur") == F.col("at"), "left").withColumn("done", F.col("done") | F.col("degree").isNull())
     w = w.withColumn("want", F.when(~F.col("done"), F.col("pick") % F.col("degree")))
-    return w.join(slots.select("src", "dst", "slot"), (F.col("cur") == F.col("src")) & (F.col("want") == F.col("slot")), "left").select("walk", F.coalesce("dst", "cur").alias("cur"), "done")
+    return w.join(slots.select("src", "dst", "slot"), (F.col("cur") == F.col("src")) & (F.col("want") == F.col("slot")), "left").select(*kept, F.coalesce("dst", "cur").alias("cur"), "done")
 
 
 def slots_with_degree(edges: DataFrame) -> DataFrame:
@@ -39,11 +40,12 @@ def slots_with_degree(edges: DataFrame) -> DataFrame:
 def walk_cache(edges: DataFrame, alpha: float, steps: int = 3) -> DataFrame:
     """(id, k, end_id): as many walks from each node as it has neighbours; the first hop is the k-th neighbour, at most ``steps`` follow."""
     slots = slots_with_degree(edges)
-    start = slots.select("src", "slot", (F.col("src") * 4096 + F.col("slot")).alias("walk"), F.col("dst").alias("cur"))
-    walks = start.select("walk", "cur", F.lit(False).alias("done"))
+    # The number only seeds draws: from slot 4096 on it would be the next node's.
+    number = F.when(F.col("slot") < 4096, F.col("src") * 4096 + F.col("slot")).otherwise(F.pmod(F.xxhash64("src", "slot"), F.lit(1 << 31)))
+    walks = slots.select(number.alias("walk"), F.col("src").alias("id"), F.col("slot").alias("k"), F.col("dst").alias("cur"), F.lit(False).alias("done"))
     for i in range(steps):
         walks = walk_step(walks, slots, i, alpha)
-    return start.select("walk", F.col("src").alias("id"), F.col("slot").alias("k")).join(walks, "walk").select("id", "k", F.col("cur").alias("end_id"))
+    return walks.select("id", "k", F.col("cur").alias("end_id"))
 
 
 def cached_walk_estimate(state: DataFrame, cache: DataFrame, alpha: float, budget: float) -> DataFrame:
