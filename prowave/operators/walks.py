@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prowave.functions.scalar import LCG_M, lcg
 
+from prowave.session import cut_lineage
+
 from .graph import adjacency_slots
 
 #: lcg() gives 24 bits.
@@ -16,15 +20,20 @@ def _draw(walk: Column, step: int, salt: int) -> Column:
     return lcg(walk * 31 + F.lit(step * 1009 + salt))
 
 
-def walk_step(walks: DataFrame, slots: DataFrame, step: int, alpha: float | None = None) -> DataFrame:
+def _hashed(walk: Column, step: int, salt: int) -> Column:
+    """For walks of any length: lcg()'s draws of successive steps lie at one distance, so lengths wouldn't be geometric."""
+    return F.pmod(F.xxhash64(walk, F.lit(step), F.lit(salt)), F.lit(1 << 62))
+
+
+def walk_step(walks: DataFrame, slots: DataFrame, step: int, alpha: float | None = None, draw: Callable[[Column, int, int], Column] = _draw) -> DataFrame:
     """(walk, cur, done) after one step: with chance ``alpha`` a walk stops (null: never), else it goes to a random neighbour.
 
     ``walks`` has (walk, cur, done), ``slots`` has (src, dst, slot, degree). A
     walk at a dead end stops there. Further columns of ``walks`` stay.
     """
-    stop = F.lit(False) if alpha is None else _draw(F.col("walk"), step, 0) < alpha * _RANGE
+    stop = F.lit(False) if alpha is None else draw(F.col("walk"), step, 0) % int(_RANGE) < alpha * _RANGE
     kept = [c for c in walks.columns if c not in ("cur", "done")]
-    w = walks.withColumn("done", F.col("done") | stop).withColumn("pick", _draw(F.col("walk"), step, 500))
+    w = walks.withColumn("done", F.col("done") | stop).withColumn("pick", draw(F.col("walk"), step, 500))
     degree = slots.filter("slot = 0").select(F.col("src").alias("at"), "degree")
     w = w.join(degree, F.col("cur") == F.col("at"), "left").withColumn("done", F.col("done") | F.col("degree").isNull())
     w = w.withColumn("want", F.when(~F.col("done"), F.col("pick") % F.col("degree")))
@@ -37,15 +46,34 @@ def slots_with_degree(edges: DataFrame) -> DataFrame:
     return s.join(degree, s["src"] == degree["of"]).select("src", "dst", "slot", "degree")
 
 
-def walk_cache(edges: DataFrame, alpha: float, steps: int = 3) -> DataFrame:
-    """(id, k, end_id): as many walks from each node as it has neighbours; the first hop is the k-th neighbour, at most ``steps`` follow."""
+def walk_cache(edges: DataFrame, alpha: float, steps: int | None = None) -> DataFrame:
+    """(id, k, end_id): as many walks from each node as it has neighbours; the first hop is the k-th neighbour, then each goes on until the coin stops it.
+
+    ``steps`` cuts walks after so many further hops; then draws are those of the
+    SQL counterpart, which numbers walks by src * 4096 + slot.
+    """
     slots = slots_with_degree(edges)
-    # The number only seeds draws: from slot 4096 on it would be the next node's.
-    number = F.when(F.col("slot") < 4096, F.col("src") * 4096 + F.col("slot")).otherwise(F.pmod(F.xxhash64("src", "slot"), F.lit(1 << 31)))
+    if steps is not None:
+        # The number only seeds draws: from slot 4096 on it would be the next node's.
+        number = F.when(F.col("slot") < 4096, F.col("src") * 4096 + F.col("slot")).otherwise(F.pmod(F.xxhash64("src", "slot"), F.lit(1 << 31)))
+    elif alpha > 0:
+        number = F.xxhash64("src", "slot")
+    else:
+        raise ValueError("without a limit, walks need a chance to stop")
     walks = slots.select(number.alias("walk"), F.col("src").alias("id"), F.col("slot").alias("k"), F.col("dst").alias("cur"), F.lit(False).alias("done"))
-    for i in range(steps):
-        walks = walk_step(walks, slots, i, alpha)
-    return walks.select("id", "k", F.col("cur").alias("end_id"))
+    if steps is not None:
+        for i in range(steps):
+            walks = walk_step(walks, slots, i, alpha)
+        return walks.select("id", "k", F.col("cur").alias("end_id"))
+    slots = cut_lineage(slots)
+    ended, i = None, 0
+    while True:
+        walks = cut_lineage(walk_step(walks, slots, i, alpha, _hashed))
+        some = walks.filter("done").select("id", "k", F.col("cur").alias("end_id"))
+        ended = some if ended is None else ended.unionAll(some)
+        walks, i = walks.filter("not done"), i + 1
+        if walks.isEmpty():
+            return ended
 
 
 def cached_walk_estimate(state: DataFrame, cache: DataFrame, alpha: float, budget: float) -> DataFrame:

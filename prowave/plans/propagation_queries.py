@@ -170,6 +170,17 @@ _VEC_START = f"d AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src),
 t AS (SELECT id, m + {ALPHA} * r AS value FROM v UNION ALL SELECT end_id, rest / walks FROM v JOIN cache USING (id) WHERE k < walks)
 SELECT id, round(sum(value) / (SELECT w FROM w), 9) + 0.0 AS value FROM t GROUP BY id""")
 def cached_walk_ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With walks cut after three further hops, as its SQL is; ``cached_walk_ppr_whole`` has whole walks."""
+    return _cached_ppr(spark, sf_dir, 3)
+
+
+@query()
+def cached_walk_ppr_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With walks that go on until the coin stops them."""
+    return _cached_ppr(spark, sf_dir, None)
+
+
+def _cached_ppr(spark: SparkSession, sf_dir: str, steps: int | None) -> DataFrame:
     e = fx.similar_vectors(spark, sf_dir)
     vec = fx.table(spark, sf_dir, "embeddings")
     budget = propagate.walk_budget(vec.count(), 16.0)
@@ -178,7 +189,7 @@ def cached_walk_ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         state = propagate.push_round(weights, degree, state, ["x"], ALPHA)
     state = state.select("id", F.col("r_x").alias("r"), F.col("m_x").alias("m"))
-    return round9(walks.cached_walk_estimate(state, walks.walk_cache(e, ALPHA), ALPHA, budget), "value")
+    return round9(walks.cached_walk_estimate(state, walks.walk_cache(e, ALPHA, steps), ALPHA, budget), "value")
 
 
 @query()
