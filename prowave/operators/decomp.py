@@ -1,21 +1,22 @@
-"""Low-rank bases of a feature matrix, in NumPy on a bounded sample of its rows.
+"""Low-rank bases of a feature matrix, in NumPy on a sample of its rows, and singular values of all rows.
 
-The sample has at most ``MAX_ROWS`` nodes, so what comes to the driver is
-bounded by that times the number of features; the weights found on it are then
-applied to all nodes by DataFrame operators (``reuse.reduce_by``).
+The sample is a fixed share of the nodes at every size, so what comes to the
+driver grows with them; the weights found on it are then applied to all nodes by
+DataFrame operators (``reuse.reduce_by``). For singular values only products of
+features (F x F) come to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .splits import sample_nodes
 
-MAX_ROWS = 50_000
 #: When an iteration has come near enough, how fast its penalty grows, the least sparsity factor.
 TOLERANCE, GROWTH, LEAST_TIMES = 1e-3, 1.5, 4.0
 
@@ -100,13 +101,32 @@ def fixed_basis(m: np.ndarray, basis: np.ndarray, times: float = LEAST_TIMES, ro
     return inverse @ (m - sparse)
 
 
-def sampled_matrix(wide: DataFrame, share: float = 0.1, seed: int = 0, most: int = MAX_ROWS) -> np.ndarray:
-    """(rows, features) of an exact, reproducible sample of nodes; at most ``most`` rows come to the driver."""
+def sampled_matrix(wide: DataFrame, share: float = 0.1, seed: int = 0) -> np.ndarray:
+    """(rows, features) of an exact, reproducible sample of nodes: the share holds at every size, and its rows come to the driver."""
     n = wide.count()
-    rows = wide.join(sample_nodes(wide, min(most, -(-int(n * share * 1000) // 1000) or 1), seed), "id").orderBy("id").select(F.col("embedding").cast("array<double>").alias("x")).toArrow()
+    rows = wide.join(sample_nodes(wide, -(-int(n * share * 1000) // 1000) or 1, seed), "id").orderBy("id").select(F.col("embedding").cast("array<double>").alias("x")).toArrow()
     return np.stack(rows.column("x").to_numpy(zero_copy_only=False)) if rows.num_rows else np.zeros((0, 0))
 
 
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, p): a partition's sum of products of all pairs of features, by row blocks."""
+    total = None
+    for b in batches:
+        if b.num_rows:
+            x = np.stack(b.column("x").to_numpy(zero_copy_only=False))
+            total = x.T @ x if total is None else total + x.T @ x
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], names=["at", "p"])
+
+
+def singular_values(wide: DataFrame, rank: int) -> np.ndarray:
+    """The ``rank`` largest singular values of all rows, from the features' products; exact but for those below about 1e-8 of the largest."""
+    x = wide.select(F.col("embedding").cast("array<double>").alias("x"))
+    got = x.mapInArrow(_products, "at long, p double").groupBy("at").agg(F.sum("p").alias("p")).orderBy("at").toPandas()["p"].to_numpy()
+    size = int(round(len(got) ** 0.5))
+    return np.sqrt(np.maximum(np.linalg.eigvalsh(got.reshape(size, size))[::-1][:rank], 0)) if size else np.zeros(0)
+
+
 def principal_bases(wide: DataFrame, count: int, times: float = 4.0, share: float = 0.1, seed: int = 0) -> tuple[list[int], DataFrame]:
     """(features chosen as bases, (feat, base, theta)): those whose sparse part is smallest, the largest of them first."""
     m = sampled_matrix(wide, share, seed)
