@@ -1,4 +1,4 @@
-"""Queries of the feature-reuse operators, over the first features of the vectors."""
+"""Queries of the feature-reuse operators, over the first features of the vectors; ``reuse_push`` over all."""
 
 from __future__ import annotations
 
@@ -101,4 +101,4 @@ def reuse_push(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features by bases and residuals; tests hold it against plain pushing."""
     e = fx.similar_vectors(spark, sf_dir)
     n = fx.count_of(spark, sf_dir, "embeddings")
-    return _round6(reuse.push_with_reuse(graph.weighted(e), fx.few_vectors(spark, sf_dir, COUNT), n, 0.5, 16.0), "value")
+    return _round6(reuse.push_with_reuse(graph.weighted(e), fx.vectors(spark, sf_dir), n, 0.5, 16.0), "value")
