@@ -200,3 +200,21 @@ def search(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = (), cu
         held = block
     held = held or make_block([], window)
     return now.mapInArrow(_stage(held, True, cut), f"doc_id long, row {row}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", text string" * cut)
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL = f"""
+WITH items AS (SELECT item_id::VARCHAR AS item, {_SQL_WORDS} AS w FROM benchmark),
+cuts AS (SELECT item, w, unnest(range(1, greatest(1, len(w) - {WINDOW} + 1) + 1)) AS p FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, least(len(w), {WINDOW}) AS size, array_to_string(w[p : p + {WINDOW - 1}], ' ') AS run FROM cuts),
+docs AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p, len(w) AS n FROM docs),
+sizes AS (SELECT DISTINCT size FROM windows),
+runs AS (SELECT t.doc_id, t.p, s.size, array_to_string(d.w[t.p : t.p + s.size - 1], ' ') AS run FROM words t JOIN docs d ON t.doc_id = d.doc_id, sizes s WHERE t.p + s.size - 1 <= t.n),
+hits AS (SELECT r.doc_id, r.p, r.size, x.item FROM runs r JOIN windows x ON r.size = x.size AND r.run = x.run),
+hit_words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS q FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(f.n_items, 0)::BIGINT AS n_items, sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id
+"""

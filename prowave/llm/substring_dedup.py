@@ -12,12 +12,14 @@ document and earlier start). Windows are judged on the input.
 2. *Extension.* The windows around a repeated anchor are its extensions to both
    sides. Occurrences meet by anchor, and each window's hash is compared within
    that group; a group has fewer than ``HOT`` rows. Anchors that occur more often
-   meet by whole window instead, after equal windows of a slice are combined, so
-   a passage of half the corpus makes one row a slice.
+   meet by whole window instead: equal windows of a slice are combined, then those
+   of ``SALTS`` parts of the documents, then the parts' first ones, so a passage of
+   half the corpus is no task of its own.
 3. Neighbouring removed windows merge to maximal repeats, and texts are cut.
 
-Equality is that of 64-bit hashes within one anchor (also 64 bits); texts move
-twice by document id, by the same exchange.
+A document is its id and the 64-bit hash of its text. Equality of windows is
+that of 64-bit hashes within one anchor (also 64 bits); texts move twice by
+document, by the same exchange.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from prowave.session import cut_lineage
+
 from . import textkernel as tk
 
 LENGTH = 20
 SEED = 8
 HOT = 1000
-_POS_BITS = 40
+SALTS = 64
 
 
 def _anchors_of(words: tk.Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +62,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """Rows keyed by id and text: rows of one id with other texts are versions of it in the order of their texts' hashes; equal rows are alike. Null ids come first."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_id"), F.xxhash64(text).bitwiseAND(F.lit((1 << 22) - 1)).alias("_of"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_id"), F.xxhash64(text).alias("_of"),
         F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
     )
 
@@ -71,8 +75,7 @@ def _seeds(length: int):
                 _, _, anchor, seeds = _anchors_of(words, length)
                 at = anchor[np.flatnonzero(np.diff(anchor, prepend=-1))]
                 row = words.doc[at]
-                place = (of[lo + row] << _POS_BITS) | (at - words.first[row])
-                yield pa.RecordBatch.from_arrays([pa.array(seeds[at].view(np.int64)), pa.array(ids[lo + row]), pa.array(place)], names=["a", "_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(seeds[at].view(np.int64)), pa.array(ids[lo + row]), pa.array(of[lo + row]), pa.array((at - words.first[row]).astype(np.int32))], names=["a", "_id", "_of", "at"])
 
     return run
 
@@ -84,7 +87,7 @@ def _flat(col: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(length: int):
-    """Rows (key, _id, at, hashes, mask): the windows from ``at`` on around a repeated anchor; ``mask`` marks those known to be repeated."""
+    """Rows (key, _id, _of, at, hashes, mask, hot): the windows from word ``at`` on around a repeated anchor; ``mask`` marks those known to be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,51 +105,54 @@ def _windows(length: int):
                 if not len(starts):
                     continue
                 whole = tk.window_hashes(h, length)[starts]
-                hot = level[anchor] == 2
                 doc = words.doc[starts]
-                place = (of[lo + doc] << _POS_BITS) | (starts - words.first[doc])
-                yield from _grouped(ids[lo + doc], place, whole, seeds[anchor], anchor, hot)
+                yield from _grouped(ids[lo + doc], of[lo + doc], (starts - words.first[doc]).astype(np.int32), whole, seeds[anchor], anchor, level[anchor] == 2)
 
     return run
 
 
-def _grouped(ids, place, whole, seed, anchor, hot) -> Iterator[pa.RecordBatch]:
-    names = ["key", "_id", "at", "hashes", "mask"]
+def _rows(key, ids, of, place, hashes: np.ndarray, sizes: np.ndarray, mask: int, hot: bool) -> pa.RecordBatch:
+    off = np.concatenate([[0], np.cumsum(sizes) * 8]).astype(np.int32)
+    col = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(hashes))])
+    n = len(key)
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(of), pa.array(place), col, pa.array(np.full(n, mask, np.int32)), pa.array(np.full(n, hot))], names=["key", "_id", "_of", "at", "hashes", "mask", "hot"])
+
+
+def _grouped(ids, of, place, whole, seed, anchor, hot) -> Iterator[pa.RecordBatch]:
     cool = np.flatnonzero(~hot)
     if len(cool):
         cut = np.flatnonzero(np.diff(anchor[cool], prepend=-1))
         at = cool[cut]
-        data = pa.py_buffer(np.ascontiguousarray(whole[cool]))
-        hashes = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.append(cut, len(cool)) * 8).astype(np.int32)), data])
-        yield pa.RecordBatch.from_arrays([pa.array(seed[at].view(np.int64)), pa.array(ids[at]), pa.array(place[at]), hashes, pa.array(np.zeros(len(at), np.int32))], names=names)
+        yield _rows(seed[at], ids[at], of[at], place[at], whole[cool], np.diff(np.append(cut, len(cool))), 0, False)
     warm = np.flatnonzero(hot)
     if len(warm):
-        order = warm[np.lexsort((place[warm], ids[warm], whole[warm]))]
+        order = warm[np.lexsort((place[warm], of[warm], ids[warm], whole[warm]))]
         new = np.flatnonzero(np.diff(whole[order], prepend=whole[order[0]] + np.uint64(1)))
         lead = order[np.repeat(new, np.diff(np.append(new, len(order))))]
-        first = (ids[order] == ids[lead]) & (place[order] == place[lead])  # equal rows are alike
-        for part, mask in ((order[first], 0), (order[~first], 1)):
-            if len(part):
-                part = np.sort(part)
-                key = whole[part] if not mask else tk.mix(ids[part].view(np.uint64) * np.uint64(3) + place[part].view(np.uint64))
-                data = pa.py_buffer(np.ascontiguousarray(whole[part] if not mask else np.zeros(0, np.uint64)))
-                off = np.arange(len(part) + 1, dtype=np.int32) * (0 if mask else 8)
-                hashes = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(off), data])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[part]), pa.array(place[part]), hashes, pa.array(np.full(len(part), mask, np.int32))], names=names)
+        first = (ids[order] == ids[lead]) & (of[order] == of[lead]) & (place[order] == place[lead])  # equal rows are alike
+        own = lambda part: tk.mix(tk.mix(ids[part].view(np.uint64)) + of[part].view(np.uint64))
+        part = np.sort(order[first])
+        yield _rows(tk.mix(whole[part] + own(part) % np.uint64(SALTS)), ids[part], of[part], place[part], whole[part], np.ones(len(part), int), 0, True)
+        part = np.sort(order[~first])
+        if len(part):
+            yield _rows(tk.mix(own(part) * np.uint64(3) + place[part].astype(np.uint64)), ids[part], of[part], place[part], np.zeros(0, np.uint64), np.zeros(len(part), int), 1, False)
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, _id, at): (_id, at, mask) with a bit for each window that an earlier row of its key has."""
+    """From rows sorted by (key, _id, _of, at): (_id, _of, at, mask, whole) with a bit for each window that an earlier row of its key has.
+
+    Of hot windows the first one of a key comes too, with its hash as ``whole`` and no bit.
+    """
     last, known, before = None, np.zeros(0, np.uint64), None
     for b in batches:
         if not b.num_rows:
             continue
         # Rows of equal documents stand next to each other and count once.
-        three = [b.column(c).to_numpy() for c in ("key", "_id", "at")]
+        own = [b.column(c).to_numpy() for c in ("key", "_id", "_of", "at")]
         fresh = np.ones(b.num_rows, bool)
-        fresh[1:] = np.any([c[1:] != c[:-1] for c in three], axis=0)
-        fresh[0] = before != tuple(c[0] for c in three)
-        before = tuple(c[-1] for c in three)
+        fresh[1:] = np.any([c[1:] != c[:-1] for c in own], axis=0)
+        fresh[0] = before != tuple(c[0] for c in own)
+        before = tuple(c[-1] for c in own)
         if not fresh.all():
             b = b.filter(pa.array(fresh))
             if not b.num_rows:
@@ -170,23 +176,31 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = np.union1d(known, tail) if last == k[-1] else tail
             last = k[-1]
         mask = mask + np.bincount(row[same], (1 << bit[same]).astype(float), minlength=len(key)).astype(np.int64)
-        out = np.flatnonzero(mask)
-        yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(out)), b.column("at").take(pa.array(out)), pa.array(mask[out].astype(np.int32))], names=["_id", "at", "mask"])
+        lead = np.asarray(b.column("hot").to_numpy(zero_copy_only=False), bool) & (mask == 0)
+        out = np.flatnonzero((mask > 0) | lead)
+        whole = np.zeros(len(key), np.uint64)
+        whole[row] = flat  # a hot row has one window
+        take = [b.column(c).take(pa.array(out)) for c in ("_id", "_of", "at")]
+        yield pa.RecordBatch.from_arrays([*take, pa.array(mask[out].astype(np.int32)), pa.array(whole[out].view(np.int64), mask=~lead[out])], names=["_id", "_of", "at", "mask", "whole"])
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(_id, _of, gone) of each document with repeated windows: ``gone`` lists (place << 16 | mask), a bit for each window from that word on."""
     rows = _keyed(docs).select("_id", "_of", "text")
-    seeds = rows.mapInArrow(_seeds(length), "a long, _id long, at long")
+    seeds = rows.mapInArrow(_seeds(length), "a long, _id long, _of long, at int")
     # The bits of the second key are turned so that both sides are exchanged for the join, which lets Spark split a frequent anchor.
     often = seeds.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.bitwise_not("a").alias("turned"), (F.col("n") >= HOT).alias("hot"))
     hits = seeds.join(often, F.bitwise_not("a") == F.col("turned"))
-    place = F.col("at").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
-    of = F.shiftright("at", _POS_BITS).alias("_of")
-    marks = hits.groupBy("_id", of).agg(F.collect_list(place * 2 + F.col("hot").cast("long")).alias("seen"))
-    found = _placed(docs).join(marks, ["_id", "_of"]).select("_id", "_of", "doc_id", "text", "seen").mapInArrow(_windows(length), "key long, _id long, at long, hashes binary, mask int")
-    later = found.repartition("key").sortWithinPartitions("key", "_id", "at").mapInArrow(_later, "_id long, at long, mask int")
-    return later.groupBy("_id", of).agg(F.collect_list(place * 65536 + F.col("mask")).alias("gone"))
+    place = F.col("at").cast("long")
+    marks = hits.groupBy("_id", "_of").agg(F.collect_list(place * 2 + F.col("hot").cast("long")).alias("seen"))
+    found = _placed(docs).join(marks, ["_id", "_of"]).select("_id", "_of", "doc_id", "text", "seen").mapInArrow(_windows(length), "key long, _id long, _of long, at int, hashes binary, mask int, hot boolean")
+    later = cut_lineage(found.repartition("key").sortWithinPartitions("key", "_id", "_of", "at").mapInArrow(_later, "_id long, _of long, at int, mask int, whole long"))
+    # At most SALTS first ones of each hot window are left: all but the first of them are repeats too.
+    heads = later.filter("whole is not null").select("whole", F.struct("_id", "_of", "at").alias("own"))
+    least = heads.groupBy("whole").agg(F.min("own").alias("least"))
+    again = heads.join(least, "whole").filter(F.col("own") != F.col("least")).select("own.*", F.lit(1).alias("mask"))
+    every = later.filter("mask > 0").select("_id", "_of", "at", "mask").unionByName(again)
+    return every.groupBy("_id", "_of").agg(F.collect_list(place * 65536 + F.col("mask")).alias("gone"))
 
 
 def _placed(docs: DataFrame) -> DataFrame:
@@ -249,3 +263,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> Data
         raise ValueError("length must be from SEED to SEED + 15")
     joined = _placed(docs).join(repeats(docs, length), ["_id", "_of"], "left").select("doc_id", "text", F.coalesce("gone", F.array().cast("array<long>")).alias("gone"))
     return joined.mapInArrow(_cut(length, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+
+
+#: doc_id is unique in the driver's tables.
+ORACLE_SQL = rf"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p, len(w) AS n FROM split),
+runs AS (SELECT doc_id, p, word, CASE WHEN p + {LENGTH - 1} <= n THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {LENGTH - 1} FOLLOWING) END AS run FROM words),
+firsts AS (SELECT *, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, p) > 1 AS later FROM runs),
+marked AS (SELECT doc_id, p, word, bool_or(later) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW) AS gone FROM firsts),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS left_over FROM marked GROUP BY doc_id)
+SELECT s.doc_id, len(s.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.left_over, '')) AS kept_sha256 FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
+"""

@@ -90,7 +90,7 @@ def test_run_gives_the_last_stage(spark, data, stages):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents",):
+    for t in ("documents", "benchmark", "embeddings", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{data}/{t}.parquet')")
     got, want = registry.queries()[name](spark, data).toPandas(), con.execute(registry.oracle_sql()[name]).df()
     names = sorted(got.columns)
