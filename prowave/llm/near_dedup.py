@@ -8,17 +8,16 @@ are candidates; a candidate pair is linked if the banded alignment of its k-mer
 sequences, matched / (n1 + n2 - matched), reaches ``SIMILARITY``. Classes are the
 connected components of the links.
 
-Texts of equal words are one node from the start. A bucket of up to ``SMALL``
-nodes is compared whole. In a larger one all are compared with its smallest
-node; then further nodes become heads, four times as many each round, and are compared
-with all of another component, until no bucket holds a pair of two components
-that wasn't compared. A group that is one component by then costs one pair a
-node; only texts that share a bucket and aren't alike are compared pair by pair.
-Bands come in two lots, and the second only brings together what the first
-hasn't linked.
-Before texts are fetched, a pair's minima are compared: of the 60 of both, at
-least ``AGREE`` must match by rank (0.8 similar texts match 39 on average, with
-a deviation of 5.4; texts that share a common passage alone match a few).
+Texts of equal words are one node from the start. First every node of a bucket
+is compared with the bucket's smallest one (its head), which joins a group of
+copies at one pair a node. What then lies in two classes and still shares *two*
+bands (0.8 similar texts share 10 of 20 on average, under two with a chance of
+about 1e-5) is compared by further heads, eight times as many each round, until
+no such pair is left that wasn't compared: none is dropped, and only texts that
+share two bands, agree in their minima and aren't alike are compared pair by pair.
+Before texts are fetched, a pair's minima are compared, inside the join: of the
+60 of both, at least ``AGREE`` must match by rank in their low four bits (0.8
+similar texts match 40 on average, with a deviation of 5.3).
 """
 
 from __future__ import annotations
@@ -37,10 +36,12 @@ WORDS = 5
 SIMILARITY = 0.8
 ORDER = 3
 BANDS = 20
-SMALL = 8
 AGREE = 16
+HEADS = 16
 ROWS_PER_TASK = 100_000
-LOTS = ((0, 5), (6, BANDS - 1))
+
+#: ORDER * BANDS minima, four bits each, fifteen a number.
+MINIMA = tuple(f"m{i}" for i in range(ORDER * BANDS // 15))
 
 _TURN = [pow(0x9E3779B97F4A7C15, b + 1, 1 << 64) | 1 for b in range(BANDS)]
 
@@ -73,13 +74,13 @@ def labelled(k: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def bands(k: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows with k-mers, BANDS) keys, equal ones for the same ordered minimum k-mers; (rows, BANDS * ORDER) low bytes of the minima by rank."""
+    """(rows with k-mers, BANDS) keys, equal ones for the same ordered minimum k-mers; (rows, len(MINIMA)) the low four bits of the minima by rank."""
     n = np.diff(offsets)
     starts = offsets[:-1][n > 0]
     sizes = n[n > 0]
     row = np.repeat(np.arange(len(sizes)), sizes)
     label = labelled(k, row)
-    out, minima = np.zeros((len(sizes), BANDS), np.uint64), np.zeros((len(sizes), BANDS, ORDER), np.int8)
+    out, minima = np.zeros((len(sizes), BANDS), np.uint64), np.zeros((len(sizes), BANDS, ORDER), np.int64)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     for b in range(BANDS):
         h = label * np.uint64(_TURN[b])
@@ -89,13 +90,13 @@ def bands(k: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             found = np.flatnonzero(h == least[row])
             at[j] = found[np.searchsorted(found, starts)]
             h[at[j]] = top  # a row with fewer k-mers repeats its first place
-            minima[:, b, j] = label[at[j]].astype(np.uint8).view(np.int8)
+            minima[:, b, j] = label[at[j]].astype(np.int64) & 15
         at.sort(axis=0)
         key = np.full(len(sizes), b + 1, np.uint64)
         for j in range(ORDER):
             key = tk.mix(key * np.uint64(31) + label[at[j]])
         out[:, b] = key
-    return out, minima.reshape(len(sizes), -1)
+    return out, (minima.reshape(len(sizes), -1, 15) << (4 * np.arange(15))).sum(2)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +112,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s1 = np.add.reduceat(tk.mix(h ^ tk.mix(place)), first)
             s2 = np.add.reduceat(tk.mix(h + place * np.uint64(tk.WINDOW_BASE)), first)
             keys, minima = bands(k, offsets)
-            lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.reshape(-1)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).reshape(-1)))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("_id").take(pa.array(lo + some)), b.column("_of").take(pa.array(lo + some)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(np.diff(offsets)[some]),
-                    lists(keys.view(np.int64)), lists(minima),
+                    lists, *(pa.array(np.ascontiguousarray(m)) for m in minima.T),
                 ],
-                names=["_id", "_of", "s1", "s2", "n", "bands", "minima"],
+                names=["_id", "_of", "s1", "s2", "n", "bands", *MINIMA],
             )
 
 
@@ -184,68 +185,80 @@ def _fits(a: Column, b: Column) -> Column:
     return F.least(a, b) >= F.lit(SIMILARITY) * F.greatest(a, b)
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """(u, v) to compare, of other labels, from (key, node, label, n): all of a bucket of up to SMALL, else each node with the smallest. Pairs whose lengths rule a link out are left out."""
-    heads = rows.groupBy("key").agg(F.min(F.struct("node", "label", "n")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+def _agree(a: str, b: str) -> Column:
+    """Whether enough minima of the two sides match: a four-bit group of the XOR that isn't 0 is a mismatch."""
+    same = F.lit(15 * len(MINIMA))
+    for m in MINIMA:
+        x = F.col(f"{a}{m}").bitwiseXOR(F.col(f"{b}{m}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        same = same - F.bit_count(x.bitwiseAND(F.lit(0x111111111111111)))
+    return same >= AGREE
+
+
+def _side(df: DataFrame, of: str, *more: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{of}{c}") for c in ("node", "n", *MINIMA, *more)])
+
+
+def _candidate() -> Column:
+    return _fits(F.col("a_n"), F.col("b_n")) & _agree("a_", "b_")
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    return df.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct()
+
+
+def _with_head(nodes: DataFrame) -> DataFrame:
+    """(u, v) to compare: each node with the smallest one of each of its buckets."""
+    rows = nodes.select(F.explode("keys").alias("key"), "node", "n", *MINIMA)
+    heads = rows.groupBy("key").agg(F.min(F.struct("node", "n", *MINIMA)).alias("head")).select("key", "head.*")
     # The turned key makes Spark exchange both sides of the join, so that it can split a large bucket.
-    heads = heads.select(F.bitwise_not("key").alias("turned"), F.col("head.node").alias("head"), F.col("head.label").alias("head_label"), F.col("head.n").alias("head_n"), "size")
-    met = rows.join(heads, (F.bitwise_not("key") == F.col("turned")) & ((F.col("size") <= SMALL) | (F.col("label") != F.col("head_label"))))
-    small = met.filter(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "label", "n")).alias("all"))
-    other = lambda a, b: (a["node"] < b["node"]) & (a["label"] != b["label"]) & _fits(a["n"], b["n"])
-    found = F.flatten(F.transform("all", lambda a: F.transform(F.filter("all", lambda b: other(a, b)), lambda b: F.struct(a["node"].alias("u"), b["node"].alias("v")))))
-    large = met.filter((F.col("size") > SMALL) & _fits(F.col("n"), F.col("head_n"))).select(F.col("head").alias("u"), F.col("node").alias("v"))
-    return small.select(F.explode(found).alias("p")).select("p.u", "p.v").unionByName(large)
+    heads = _side(heads, "b_", "key").withColumn("b_key", F.bitwise_not("b_key"))
+    return _pairs(_side(rows, "a_", "key").join(heads, (F.bitwise_not("a_key") == F.col("b_key")) & (F.col("a_node") != F.col("b_node")) & _candidate()))
 
 
-def _open(rows: DataFrame, been: DataFrame | None) -> DataFrame:
-    """(key, node, n, label, share, most): of (key, node, n, label), buckets with two labels or more among the nodes that haven't been heads.
+def _twice(nodes: DataFrame) -> DataFrame:
+    """(key, node, n, minima, label): a row for each two bands of a node whose buckets both hold two labels."""
+    own = ["node", "n", "label", *MINIMA]
+    rows = nodes.select(F.explode("keys").alias("key"), *own)
+    mixed = rows.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first != last").select(F.bitwise_not("key").alias("turned"))
+    some = rows.join(mixed, F.bitwise_not("key") == F.col("turned"), "left_semi").groupBy(*own).agg(F.array_sort(F.collect_list("key")).alias("keys")).filter(F.size("keys") > 1)
+    both = F.flatten(F.transform("keys", lambda a, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda b: F.xxhash64(a, b))))
+    return some.select(F.explode(both).alias("key"), *own)
+
+
+def _other(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """Rows of ``a`` that meet one of ``b`` of another label in a bucket."""
+    b = _side(b, "b_", "label", "key").withColumn("b_key", F.bitwise_not("b_key"))
+    return _side(a, "a_", "label", "key").join(b, (F.bitwise_not("a_key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & _candidate(), how)
 
-    ``share`` is how many of the bucket's nodes have the label, ``most`` the label that most have.
-    """
-    if been is not None:
-        rows = rows.join(been, ["key", "node"], "left_anti")
-    share = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("share"))
-    open_ = share.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("share", "label")).alias("most")).filter("labels > 1")
-    share = share.withColumnsRenamed({"key": "of", "label": "named"}).join(open_.select(F.col("key").alias("open"), F.col("most.label").alias("most")), F.col("of") == F.col("open"))
-    share = share.select(F.bitwise_not("of").alias("turned"), "named", "share", "most")
-    return rows.join(share, (F.bitwise_not("key") == F.col("turned")) & (F.col("label") == F.col("named"))).select("key", "node", "n", "label", "share", "most")
+
+def _open(rows: DataFrame, been: DataFrame | None) -> DataFrame:
+    """The rows that still have someone to be compared with: neither was a head in that bucket."""
+    rows = rows if been is None else rows.join(been, ["key", "node"], "left_anti")
+    found = _other(rows, rows, "left_semi")
+    return found.select(*[F.col(c).alias(c[2:]) for c in found.columns])
 
 
 def _heads(rest: DataFrame, count: int) -> DataFrame:
-    """(key, node, n, label): up to ``count`` new heads of each open bucket, of the labels with the fewest nodes first and none of the label with the most."""
-    slot = F.pmod(F.xxhash64("node"), F.lit(count))
-    first = rest.filter(F.col("label") != F.col("most")).groupBy("key", slot.alias("slot")).agg(F.min(F.struct("share", "label", "node", "n")).alias("head"))
-    return first.select("key", "head.node", "head.n", "head.label")
-
-
-def _with_heads(rest: DataFrame, heads: DataFrame) -> DataFrame:
-    """(u, v) to compare: each head with all nodes of its bucket that have another label."""
-    heads = heads.select(F.bitwise_not("key").alias("turned"), F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("label").alias("head_label"))
-    met = rest.join(heads, (F.bitwise_not("key") == F.col("turned")) & (F.col("label") != F.col("head_label")) & _fits(F.col("n"), F.col("head_n")))
-    return met.select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v"))
-
-
-def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs whose minima agree well enough and whose alignment reaches ``least``."""
-    side = lambda df, of, c: df.select(F.col("node").alias(of), F.col(c).alias(f"{c}_{of}"))
-    near = pairs.distinct().join(side(nodes, "u", "minima"), "u").join(side(nodes, "v", "minima"), "v")
-    same = F.aggregate(F.zip_with("minima_u", "minima_v", lambda a, b: (a == b).cast("int")), F.lit(0), lambda a, b: a + b)
-    near = near.filter(same >= AGREE).select("u", "v")
-    both = near.join(side(texts, "u", "text"), "u").join(side(texts, "v", "text"), "v").select("u", "v", "text_u", "text_v")
-    return both.mapInArrow(_verify(least), pairs.select("u", "v").schema)
+    """Up to ``count`` rows of each bucket, the same nodes in all their buckets as far as possible."""
+    order = F.xxhash64("node")
+    first = rest.groupBy("key", F.pmod(order, F.lit(count)).alias("slot")).agg(F.min(F.struct(order.alias("turn"), "node", "n", "label", *MINIMA)).alias("head"))
+    return first.select("key", "head.*")
 
 
-def nearest(links: DataFrame) -> DataFrame:
-    """(node, label) of each linked node: the smallest of it and the nodes it is linked with. Nodes of one label are in one component."""
-    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("other")), F.struct(F.col("v").alias("node"), F.col("u").alias("other")))).alias("x"))
-    return ends.groupBy("x.node").agg(F.min(F.least("x.node", "x.other")).alias("label"))
+def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs whose alignment reaches ``least``."""
+    side = lambda of: texts.select(F.col("node").alias(of), F.col("text").alias(f"text_{of}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v")
+    return both.mapInArrow(_verify(least), pairs.select("u", "v").schema)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of each linked node; the label is the component's smallest node.
 
-    Each round takes the smallest label next door and then the label's own
-    label, so a chain is halved, until nothing changes. The tables are dealt to
+    Each round takes the smallest label next door and then that label's own
+    one, so a chain is halved, until nothing changes. The tables are dealt to
     as many tasks as their rows call for, not to as many as the texts do.
     """
     both = cut_lineage(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
@@ -254,10 +267,9 @@ def components(links: DataFrame) -> DataFrame:
     labels = cut_lineage(both.groupBy("u").agg(F.min("v").alias("near")).select(F.col("u").alias("node"), F.least("u", "near").alias("label")).coalesce(parts))
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").coalesce(parts).groupBy("u").agg(F.min("label").alias("near"))
-        moved = labels.join(near, F.col("node") == F.col("u")).select("node", F.least("label", "near").alias("next"), "label").coalesce(parts)
-        moved = cut_lineage(moved)
-        jump = moved.select(F.col("node").alias("at"), F.col("next").alias("further"))
-        after = cut_lineage(moved.join(jump, F.col("next") == F.col("at")).select("node", F.col("further").alias("next"), "label").coalesce(parts))
+        moved = labels.join(near, F.col("node") == F.col("u")).select("node", F.least("label", "near").alias("next"), "label")
+        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
+        after = cut_lineage(moved.join(jump, F.col("next") == F.col("at")).select("node", F.least("next", "further").alias("next"), "label").coalesce(parts))
         labels = after.select("node", F.col("next").alias("label"))
         if after.filter(F.col("next") != F.col("label")).isEmpty():
             return labels
@@ -273,43 +285,33 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_id"), F.xxhash64(text).alias("_of"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    sketches = cut_lineage(rows.select("_id", "_of", "text").mapInArrow(_sketch, "_id long, _of long, s1 long, s2 long, n long, bands array<long>, minima array<byte>"))
-    nodes = cut_lineage(sketches.groupBy("s1", "s2").agg(F.min(F.struct("_id", "_of")).alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("minima").alias("minima")))
+    minima = ", ".join(f"{m} long" for m in MINIMA)
+    sketches = cut_lineage(rows.select("_id", "_of", "text").mapInArrow(_sketch, f"_id long, _of long, s1 long, s2 long, n long, bands array<long>, {minima}"))
+    least_one = F.min(F.struct("_id", "_of")).alias("node")
+    nodes = cut_lineage(sketches.groupBy("s1", "s2").agg(least_one, F.first("n").alias("n"), F.first("bands").alias("bands"), *[F.first(m).alias(m) for m in MINIMA]))
     # Only buckets of two or more nodes matter from here on, and only the texts of nodes in one.
-    spread = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.bitwise_not("key").alias("turned"), "size")
-    shared = cut_lineage(spread.join(shared, F.bitwise_not("key") == F.col("turned")).drop("turned"))
-    wanted = shared.select("node").distinct().select("node._id", "node._of")
-    texts, forget = written(rows.select("_id", "_of", "text").join(wanted, ["_id", "_of"], "left_semi").select(F.struct("_id", "_of").alias("node"), "text"), "near-texts")
-    links = labels = None
-
-    def add(more: DataFrame) -> None:
-        nonlocal links, labels
-        links = more if links is None else links.unionByName(more)
-        labels = cut_lineage(nearest(links))
-
-    def label(of: str) -> DataFrame:
-        return labels.select(F.col("node").alias(f"{of}_"), F.col("label").alias(f"{of}_label"))
-
-    for first, last in LOTS:
-        known = shared.filter(F.col("band").between(first, last)).select("node", "n", "key")
-        known = known.withColumn("label", F.col("node")) if labels is None else known.join(label("node"), F.col("node") == F.col("node_"), "left").withColumn("label", F.coalesce("node_label", "node"))
-        add(cut_lineage(_links(_pairs(known), nodes, texts, least)))
-    # Large buckets only met their first head; further heads follow until no pair of two components is left.
-    large, been, heads = shared.filter(F.col("size") > SMALL).select("node", "n", "key"), None, SMALL
-    labels = components(links)
+    spread = nodes.select("node", "n", *MINIMA, F.explode("bands").alias("key"))
+    several = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.bitwise_not("key").alias("turned"))
+    shared = cut_lineage(spread.join(several, F.bitwise_not("key") == F.col("turned"), "left_semi").groupBy("node", "n", *MINIMA).agg(F.collect_list("key").alias("keys")))
+    wanted = shared.select("node._id", "node._of")
+    texts, forget = written(rows.select("_id", "_of", "text").join(wanted, ["_id", "_of"], "left_semi").dropDuplicates(["_id", "_of"]).select(F.struct("_id", "_of").alias("node"), "text"), "near-texts")
+    links = cut_lineage(_links(_with_head(shared), texts, least))
+    labels, been, heads = components(links), None, HEADS
+    twice: DataFrame | None = None
     while True:
-        known = large.join(label("node"), F.col("node") == F.col("node_"), "left").select("key", "node", "n", F.coalesce("node_label", "node").alias("label"))
-        rest = cut_lineage(_open(known, been))
+        if twice is None:
+            known = shared.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "n", "keys", *MINIMA, F.coalesce("label", "node").alias("label"))
+            twice = _twice(known)
+        rest = cut_lineage(_open(twice, been))
         if rest.isEmpty():
             break
         turn = cut_lineage(_heads(rest, heads))
-        more = cut_lineage(_links(_with_heads(rest, turn), nodes, texts, least))
+        more = cut_lineage(_links(_pairs(_other(rest, turn, "inner")), texts, least))
         if not more.isEmpty():
             links = links.unionByName(more)
-            labels = components(links)
+            labels, twice = components(links), None
         been = turn.select("key", "node") if been is None else been.unionByName(turn.select("key", "node"))
-        heads *= 4
+        heads *= 8
     forget()
     named = nodes.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.bitwise_not("s1").alias("t1"), F.bitwise_not("s2").alias("t2"), F.coalesce("label", "node").alias("class"))
     member = sketches.join(named, (F.bitwise_not("s1") == F.col("t1")) & (F.bitwise_not("s2") == F.col("t2"))).select("_id", "_of", "class").distinct()
@@ -320,7 +322,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, columns: tuple[str, ...], least: float = SIMILARITY) -> DataFrame:
-    """The named columns of the first document of each class."""
+    """The named columns of the first document of each class; of rows with its id and text, those of the smallest row."""
     kept = classes(docs, least).filter("keep").select("_id", "_of").distinct()
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_of")]
-    return docs.select(*key, F.struct(*columns).alias("row")).join(kept, ["_id", "_of"], "left_semi").select("row.*")
+    found = docs.select(*key, F.struct(*columns).alias("row")).join(kept, ["_id", "_of"], "left_semi")
+    return found.groupBy("_id", "_of").agg(F.min("row").alias("row")).select("row.*")

@@ -10,7 +10,7 @@ SCHEMA = "doc_id long, text string"
 
 
 def test_links_within_a_large_bucket_are_found(spark):
-    """x is 0.8 similar to y alone, and y to the bucket's head: a chain, in buckets of far more than SMALL texts."""
+    """x is 0.8 similar to y alone, and y to the bucket's head: a chain, in buckets of many texts."""
     rng = random.Random(3)
     hub = [f"w{rng.randrange(10_000)}" for _ in range(400)]
     rows = [(0, " ".join(hub))]
@@ -29,9 +29,56 @@ def test_links_within_a_large_bucket_are_found(spark):
 
 def test_unlike_texts_of_one_bucket_stay_apart(spark, monkeypatch):
     """Texts that share a bucket but no link: every round of heads ends, and none are joined."""
-    monkeypatch.setattr(near_dedup, "SMALL", 1)
+    monkeypatch.setattr(near_dedup, "HEADS", 1)
     rng = random.Random(4)
     passage = [f"p{i}" for i in range(60)]
     rows = [(i, " ".join(passage + [f"w{rng.randrange(10_000)}" for _ in range(60)])) for i in range(40)]
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: i for i, _ in rows}
+
+
+def _changed(words: list[str], places: list[int], tag: str) -> list[str]:
+    out = list(words)
+    for p in places:
+        out[p] = f"{tag}_{p}"
+    return out
+
+
+def test_pairs_of_one_family(spark):
+    """Texts of one original, all in the same buckets, of which hardly any but planted pairs are 0.8 similar: brute force finds no other links."""
+    from test_operators import jaccard_classes
+
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(100_000)}" for _ in range(400)]
+    rows = []
+    for i in range(100):
+        places = rng.sample(range(400), 9)
+        pair = _changed(base, places[:3], f"p{i}")
+        rows += [(2 * i, " ".join(_changed(pair, places[3:6], f"a{i}"))), (2 * i + 1, " ".join(_changed(pair, places[6:], f"b{i}")))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    want = jaccard_classes([(i, t, None) for i, t in rows])
+    assert got == want and len(set(want.values())) > 50
+
+
+def test_a_drifting_group_is_one_class(spark):
+    """Each text is 0.8 similar to the one before and to the one after alone."""
+    rng = random.Random(7)
+    now, rows = [f"w{rng.randrange(100_000)}" for _ in range(400)], []
+    for i in range(60):
+        rows.append((i, " ".join(now)))
+        now = _changed(now, [(37 * i + 50 * j) % 400 for j in range(8)], f"d{i}")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert got == {i: 0 for i, _ in rows}
+
+
+def test_long_texts(spark):
+    """Texts of tens of thousands of words are aligned whole."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(100_000)}" for _ in range(30_000)]
+    near, far = list(words), list(words)
+    near[100:600] = []
+    near[20_000] = "other"
+    far[5000:15_000] = [f"x{i}" for i in range(10_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}

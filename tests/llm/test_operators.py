@@ -100,15 +100,15 @@ def jaccard_classes(rows):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("small", [8, 2])
-def test_near_dedup(spark, corpus, monkeypatch, small):
-    monkeypatch.setattr(near_dedup, "SMALL", small)
+@pytest.mark.parametrize("heads", [16, 1])
+def test_near_dedup(spark, corpus, monkeypatch, heads):
+    monkeypatch.setattr(near_dedup, "HEADS", heads)
     got = {r["doc_id"]: r for r in near_dedup.classes(table(spark, corpus)).collect()}
     want = jaccard_classes(corpus)
     assert {i: r["class_id"] for i, r in got.items()} == want
     assert len(set(want.values())) < len(want) - 10
     kept = near_dedup.keep_one(table(spark, corpus), ("doc_id", "text", "source")).collect()
-    assert {r["doc_id"] for r in kept} == set(want.values())
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))  # equal rows once
     assert near_dedup.classes(empty(spark)).count() == 0
     alone = near_dedup.classes(table(spark, [(1, "a b c d e f", "s"), (2, "g h i j k l", "s")])).collect()
     assert sorted((r["doc_id"], r["class_id"], r["keep"]) for r in alone) == [(1, 1, True), (2, 2, True)]
