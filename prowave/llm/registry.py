@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.ORACLE_SQL, "op4_decontamination": decontaminate.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL}
+    return {"op3_source_mixing": mixing.ORACLE_SQL, "op4_decontamination": decontaminate.ORACLE_SQL, "op5_ann": ann.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL}

@@ -116,20 +116,29 @@ def test_quantiser_recall_and_parallel_error():
         return float((((x - back) * x).sum(1) ** 2).mean())
 
     assert parallel(aware) < parallel(plain)
-    ids = np.arange(3000)
-    row, at, score = ann.top_of_block(aware, ids[:50], x[:50], ids, aware.pack(x), x, 10, 300)
+    best = ann.Best(aware, x[:50], 300)
+    for at in range(0, 3000, 700):
+        best.add(np.arange(at, min(3000, at + 700)), aware.pack(x[at : at + 700]))
+    row, ids, _ = best.cut()
+    assert np.bincount(row).tolist() == [300] * 50
     exact = x[:50] @ x.T
-    exact[np.arange(50), np.arange(50)] = -9
-    best = np.argsort(-exact, axis=1)[:, :10]
-    assert sum(len(set(at[row == i]) & set(best[i])) for i in range(50)) / 500 > 0.95
-    assert score == pytest.approx(exact[row, at])
+    top = np.argsort(-exact, axis=1)[:, :10]
+    assert sum(len(set(ids[row == i]) & set(top[i])) for i in range(50)) / 500 > 0.95
 
 
-def test_equal_vectors_rank_by_id():
-    x = np.tile(np.random.default_rng(1).standard_normal(8), (500, 1))
+def test_blocks_dont_change_the_best():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((900, 8))
+    x[100:700] = x[5]  # ties at the edge go to the smaller ids
     q = ann.Quantiser.fit(x)
-    _, at, _ = ann.top_of_block(q, np.array([3]), x[:1], np.arange(500), q.pack(x), x, 5, 20)
-    assert at.tolist() == [0, 1, 2, 4, 5]
+    near = q.scan(x[:9], q.pack(x))
+    for size in (900, 250, 31):
+        best = ann.Best(q, x[:9], 40)
+        for at in rng.permutation(range(0, 900, size)):
+            best.add(np.arange(at, min(900, at + size)), q.pack(x[at : at + size]))
+        row, ids, _ = best.cut()
+        for i in range(9):
+            assert ids[row == i].tolist() == np.lexsort((np.arange(900), -near[i]))[:40].tolist()
 
 
 def test_quality_gradients_and_attention():

@@ -236,6 +236,30 @@ def test_ann_recall(spark, data):
     assert ann.recall(ann.search(t, q, depth=100), t, q) >= 0.9
 
 
+def test_ann_in_passes(spark, monkeypatch):
+    """Many rows beyond DEPTH, more queries than a pass takes, one vector that a third of the rows have."""
+    monkeypatch.setattr(ann, "PASS", 60)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((50_000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0]
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5).cache()
+    q = t.filter("vec_id % 400 = 7")
+    found = ann.search(t, q).cache()
+    got = {(r["query_id"], r["rank"]): r for r in found.collect()}
+    assert len(got) == 125 * 20
+    asked = np.arange(7, 50_000, 400)
+    score = x[asked].astype(float) @ x.astype(float).T
+    score[np.arange(125), asked] = -9
+    right = 0
+    for i, a in enumerate(asked.tolist()):
+        top = np.lexsort((np.arange(50_000), -score[i]))[:20]
+        right += len(set(top.tolist()) & {got[a, k]["vec_id"] for k in range(1, 21)})
+        assert all(got[a, k]["score"] >= got[a, k + 1]["score"] for k in range(1, 20))
+    assert right >= 0.95 * 125 * 20
+    assert {(r["query_id"], r["rank"]): r for r in ann.search(t.repartition(3), q).collect()} == got
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<article><p>x</p></article>", "e"), (None, None, None, "e"), (1, "u", "<article><p>x</p></article>", "e")]
     t = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
