@@ -1,12 +1,14 @@
 """Main text of web pages by line-block distribution.
 
 A page is stripped of markup into *lines*, one for each block element. Each
-line has a weight: the length of its text, or 0 where the line lies in page
-furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments) or outside the article of a page that marks one. The weights are
-summed over sliding windows of lines; the text surges where that sum rises
-above the threshold and dives where it falls to nothing. What lies between is
-the main text, without the furniture inside it.
+line has a weight: the length of its text; 0 in page furniture (menus, headers,
+footers, sidebars, notices, adverts, forms, reader comments); a small share of
+it outside the article of a page that marks one; less its links' text where no
+article is marked. The weights are summed over sliding windows of lines. The
+text surges where that sum reaches a share of the page's peak and dives where it
+falls to nothing or the article ends; a line inside a marked article is lifted
+by as much as a surge needs. What lies between is the main text, without the
+furniture inside it, and with lines of links if the text is dense on both sides.
 """
 
 from __future__ import annotations
@@ -37,6 +39,14 @@ FURNITURE_WORDS = frozenset(
 
 #: A class mark by one of these holds whatever the element contains.
 FIRM_WORDS = frozenset("ad ads adsbygoogle advert adverts advertisement advertising comment comments disqus reply replies respond related recommended recommendations cookie cookies consent gdpr notice notices newsletter".split())
+#: Words that say where or how big a part is: a class of these and the words above is a mark; one with any other word (as in share-price) isn't.
+NEUTRAL_WORDS = frozenset(
+    "box block list lists item items wrap wrapper container content area bar section panel region zone slot unit row col column inner outer top bottom left right center main head body foot "
+    "site page global post posts article articles story stories user users reader readers form field input btn button buttons link links icon icons img image text title heading label count "
+    "module component view group holder fixed sticky mobile desktop small large primary secondary first last next prev previous media policy google for you more the of and js is has new all "
+    "up down message messages thread threads feed to in on close open toggle wide narrow".split()
+)
+
 #: Other class marks, and forms, give way on an element around an article; on a page without one, around more than this share of its text.
 WRAPPER_SHARE = 0.6
 
@@ -53,6 +63,8 @@ _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 WINDOW_LINES = 3
 SURGE_SHARE = 0.25
+#: What a line outside the article of a page that marks one counts.
+OUTSIDE = 0.05
 
 
 def _is_furniture(name: str, attrs: str) -> tuple[bool, int]:
@@ -62,8 +74,11 @@ def _is_furniture(name: str, attrs: str) -> tuple[bool, int]:
         key, value = key.lower(), value.strip("\"'")
         if key == "role" and value.lower() in FURNITURE_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True, 0
-        if key in ("class", "id") and (found := {x.lower() for w in _WORDS.findall(value) for x in (w, *_CAMEL.findall(w))} & FURNITURE_WORDS):
-            soft = max(soft, 2 if found & FIRM_WORDS else 1)
+        for name_ in value.split() if key in ("class", "id") else ():
+            words = [x.lower() for w in _WORDS.findall(name_) for x in ([w] if w.lower() in FURNITURE_WORDS else _CAMEL.findall(w))]
+            found = FURNITURE_WORDS.intersection(words)
+            if found and all(len(w) == 1 or w in found or w in NEUTRAL_WORDS for w in words):
+                soft = max(soft, 2 if found & FIRM_WORDS else 1)
     return name in FURNITURE, soft if name not in ("html", "body", "main") and (name != "article" or soft == 2) else 0
 
 
@@ -177,33 +192,41 @@ def page_lines(html: str) -> list[tuple[str, int, int, bool]]:
     return [(t, a, art, hard or any(k not in wrappers for k in soft)) for (t, a, art, hard), soft in zip(lines, soft_of, strict=True)]
 
 
+def densities(weight: list[float], window: int) -> list[float]:
+    """The sum of each line's weight and those of the ``window`` - 1 lines after it."""
+    run = [0.0]
+    for w in weight:
+        run.append(run[-1] + w)
+    return [run[min(len(weight), i + window)] - run[i] for i in range(len(weight))]
+
+
 def main_text(html: str | None, window: int = WINDOW_LINES, share: float = SURGE_SHARE) -> str:
     """The main text of one page; '' for null, for no markup with no text, and for pages of furniture alone."""
     if not html:
         return ""
     lines = page_lines(html)
+    n = len(lines)
     marked = any(art and not skip for _, _, art, skip in lines)
-    weight = [0 if skip or marked and not art else len(t) if marked else max(0, len(t) - 2 * a) for t, a, art, skip in lines]
-    n = len(weight)
-    run = [0]
-    for w in weight:
-        run.append(run[-1] + w)
-    density = [run[min(n, i + window)] - run[i] for i in range(n)]
-    peak = max(density, default=0)
-    if not peak:
+    weight = [0.0 if skip else float(len(t)) if art else max(0, len(t) - 2 * a) * (OUTSIDE if marked else 1) for t, a, art, skip in lines]
+    surge = share * max(densities(weight, window), default=0)
+    if not surge:
         return ""
-    # A marked article holds text alone, so any text surges; else a span must reach a share of the peak somewhere.
-    spans, i = [], 0
+    weight = [w + surge if art and not skip else w for w, (_, _, art, skip) in zip(weight, lines, strict=True)]
+    after = densities(weight, window)
+    before = densities(weight[::-1], window)[::-1]
+    kept, i = [], 0
     while i < n:
         if not weight[i]:
             i += 1
             continue
-        j = i
-        while j < n and density[j]:
+        zone, j = lines[i][2] > 0, i
+        while j < n and after[j] and (lines[j][2] > 0) == zone:
             j += 1
-        spans.append((i, j, max(density[i:j])))
+        while not weight[j - 1]:
+            j -= 1
+        if max(after[k] for k in range(i, j) if weight[k]) >= surge:
+            kept += [lines[k][0] for k in range(i, j) if weight[k] or not lines[k][3] and before[k] >= surge <= after[k]]
         i = j
-    kept = [t for i, j, top in spans if marked or top >= share * peak for t, w in zip((x[0] for x in lines[i:j]), weight[i:j], strict=True) if w]
     return "\n".join(kept)
 
 
