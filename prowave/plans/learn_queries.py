@@ -120,7 +120,7 @@ def rsvd(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rpca_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bases by robust PCA and the others' weights on them."""
-    return decomp.principal_bases(features.to_wide(fx.vectors(spark, sf_dir)), 3, share=0.5)[1]
+    return decomp.principal_bases(features.to_wide(fx.vectors(spark, sf_dir)), 3)[1]
 
 
 @query()
@@ -128,7 +128,7 @@ def pca_push(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features by principal bases; tests hold it against plain pushing."""
     e, x = fx.similar_vectors(spark, sf_dir), fx.vectors(spark, sf_dir)
     n = fx.count_of(spark, sf_dir, "embeddings")
-    bases, theta = decomp.principal_bases(features.to_wide(x), 3, share=0.5)
+    bases, theta = decomp.principal_bases(features.to_wide(x), 3)
     kept = theta.filter(F.abs("theta") >= 1e-2)
 
     def reducer(long: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:

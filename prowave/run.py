@@ -52,8 +52,7 @@ def embeddings(edges: DataFrame, nodes: DataFrame, long: DataFrame, c: Config, b
     if c.algo == "featreuse":
         return reuse.push_with_reuse(weights, long, n, c.alpha, c.epsilon, c.gamma, c.base_ratio)
     if c.algo == "featpca":
-        degree = weights.count() / n / 2
-        bases, theta = decomp.principal_bases(features.to_wide(long), reuse.base_count(len(feats), c.base_ratio), degree**0.5, seed=c.seed)
+        bases, theta = decomp.principal_bases(features.to_wide(long), reuse.base_count(len(feats), c.base_ratio), seed=c.seed)
 
         def reducer(values: DataFrame, _: DataFrame) -> tuple[DataFrame, DataFrame]:
             rest = reuse.reduce_by(theta, values, len(bases), n).filter(~F.col("feat").isin(bases))

@@ -93,10 +93,8 @@ def test_decomposition():
     assert (u * s) @ v.T == pytest.approx(low, abs=1e-8)
     assert s == pytest.approx(np.linalg.svd(low)[1][:3])
     assert decomp.pseudo_inverse(low, 3) == pytest.approx(np.linalg.pinv(low, rcond=1e-6), abs=1e-8)
-    a, b = decomp.robust_pca(low, 3, rounds=30)
-    assert np.linalg.norm(low - a - b) <= 1e-2 * np.linalg.norm(low)
-    basis = low[:, :3]
-    assert np.linalg.norm(basis @ decomp.fixed_basis(low, basis) - low) <= 0.05 * np.linalg.norm(low)
+    a, b = decomp.robust_pca(low)
+    assert np.linalg.norm(low - a - b) <= 1e-3 * np.linalg.norm(low)
     assert decomp.shrink(np.array([-2.0, 0.5, 3.0]), 1.0).tolist() == [-1.0, 0.0, 2.0]
 
 
