@@ -10,11 +10,13 @@ connected components of the links.
 
 Texts of equal words are one node from the start. First every node of a bucket
 is compared with the bucket's smallest one (its head), which joins a group of
-copies at one pair a node. What then lies in two classes and still shares *two*
-bands (0.8 similar texts share 10 of 20 on average, under two with a chance of
-about 1e-5) is compared by further heads, eight times as many each round, until
-no such pair is left that wasn't compared: none is dropped, and only texts that
-share two bands, agree in their minima and aren't alike are compared pair by pair.
+copies at one pair a node. Nodes that then share *two* bands (0.8 similar texts
+share 10 of 20 on average, under two with a chance of about 1e-5) with one of
+another class make *families*; a family's nodes are dealt to blocks, and all
+pairs of two classes are compared, block against block, with each text sent once
+to a pair of blocks: k-mers in common bound the alignment from above, and only
+pairs that may reach ``SIMILARITY`` are aligned. So none is dropped, and no pair is
+a row of its own.
 Before texts are fetched, a pair's minima are compared, inside the join: of the
 60 of both, at least ``AGREE`` must match by rank in their low four bits (0.8
 similar texts match 40 on average, with a deviation of 5.3).
@@ -37,7 +39,9 @@ SIMILARITY = 0.8
 ORDER = 3
 BANDS = 20
 AGREE = 16
-HEADS = 16
+BLOCK = 256
+BLOCK_WORDS = 1 << 17
+VOCABULARY = 1 << 13
 ROWS_PER_TASK = 100_000
 
 #: ORDER * BANDS minima, four bits each, fifteen a number.
@@ -233,18 +237,121 @@ def _other(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     return _side(a, "a_", "label", "key").join(b, (F.bitwise_not("a_key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & _candidate(), how)
 
 
-def _open(rows: DataFrame, been: DataFrame | None) -> DataFrame:
-    """The rows that still have someone to be compared with: neither was a head in that bucket."""
-    rows = rows if been is None else rows.join(been, ["key", "node"], "left_anti")
-    found = _other(rows, rows, "left_semi")
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows that meet a candidate of another label in a bucket."""
+    b = _side(rows, "b_", "label", "key").withColumn("b_key", F.bitwise_not("b_key"))
+    found = _side(rows, "a_", "label", "key").join(b, (F.bitwise_not("a_key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & _candidate(), "left_semi")
     return found.select(*[F.col(c).alias(c[2:]) for c in found.columns])
 
 
-def _heads(rest: DataFrame, count: int) -> DataFrame:
-    """Up to ``count`` rows of each bucket, the same nodes in all their buckets as far as possible."""
-    order = F.xxhash64("node")
-    first = rest.groupBy("key", F.pmod(order, F.lit(count)).alias("slot")).agg(F.min(F.struct(order.alias("turn"), "node", "n", "label", *MINIMA)).alias("head"))
-    return first.select("key", "head.*")
+def _dealt(rest: DataFrame) -> DataFrame:
+    """(node, label, side, tile): each open node in all tiles of its family that its block is in.
+
+    A block is a part of one large class or of several small ones; a tile is two
+    blocks of a family (or one, if it has several classes).
+    """
+    heads = rest.groupBy("key").agg(F.min("node").alias("u")).select(F.bitwise_not("key").alias("turned"), "u")
+    ties = rest.join(heads, F.bitwise_not("key") == F.col("turned")).filter(F.col("u") != F.col("node")).select("u", F.col("node").alias("v")).distinct()
+    family = components(ties).select(F.col("node").alias("of"), F.col("label").alias("family"))
+    rows = cut_lineage(rest.select("node", "n", "label").distinct().join(family, F.col("node") == F.col("of")).drop("of"))
+    parts = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("w") / BLOCK_WORDS))
+    size = [F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")]
+    by = rows.groupBy("family", "label").agg(*size).withColumn("parts", parts)
+    pool = by.filter("parts = 1").groupBy("family").agg(F.sum("c").alias("c"), F.sum("w").alias("w")).select(F.col("family").alias("pool"), parts.alias("pool_parts"))
+    by = by.join(pool, F.col("family") == F.col("pool"), "left").select("family", "label", "parts", "pool_parts")
+    large = F.col("parts") > 1
+    block = F.when(large, F.xxhash64("family", "label", F.pmod(F.xxhash64("node"), F.col("parts")))).otherwise(F.xxhash64("family", F.pmod(F.xxhash64("label"), F.col("pool_parts"))))
+    rows = rows.join(by, ["family", "label"]).select("node", "label", "family", block.alias("block"), F.when(large, F.col("label")).alias("pure"))
+    blocks = rows.select("family", "block", "pure").distinct()
+    a, b = (blocks.select(F.col("family").alias(f"{x}_family"), F.col("block").alias(x), F.col("pure").alias(f"{x}_pure")) for x in "ab")
+    tiles = a.join(b, (F.col("a_family") == F.col("b_family")) & (F.col("a") <= F.col("b")) & ~F.coalesce(F.col("a_pure") == F.col("b_pure"), F.lit(False)))
+    ends = tiles.select(F.xxhash64("a", "b").alias("tile"), F.explode(F.array_distinct(F.array(F.struct(F.col("a").alias("at"), F.lit(0).alias("side")), F.struct(F.col("b").alias("at"), F.when(F.col("a") == F.col("b"), 0).otherwise(1).alias("side"))))).alias("x")).select("tile", "x.*")
+    return rows.join(ends, F.col("block") == F.col("at")).select("node", "label", "side", "tile")
+
+
+def compare(side: np.ndarray, label: np.ndarray, seq: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs of indices whose alignment reaches ``least``, enough of them to join the labels that any such pair joins.
+
+    Rows of side 0 meet those of side 1, or each other if there is no side 1.
+    """
+    sizes = np.array([len(x) for x in seq])
+    row = np.repeat(np.arange(len(seq)), sizes)
+    gram = labelled(np.concatenate(seq), row)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(right)
+    right = left if alone else right
+    known, code = np.unique(gram, return_inverse=True)
+    on = [np.bincount(code[side[row] == s], minlength=len(known)) for s in (0, 1)]
+    shared = on[0] > 1 if alone else (on[0] > 0) & (on[1] > 0)
+    place = np.cumsum(shared) - 1
+    keep = shared[code]
+    row, at = row[keep], place[code[keep]]
+    common = np.zeros((len(left), len(right)), np.float32)
+    back = np.zeros(len(seq), np.int64)
+    back[left] = np.arange(len(left))
+    back[right] = np.arange(len(right))
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for lo in range(0, int(shared.sum()), VOCABULARY):
+        some = slice(*np.searchsorted(at, [lo, lo + VOCABULARY]))
+        r, c = row[some], at[some] - lo
+        grid = [np.zeros((len(x), VOCABULARY), np.float32) for x in ((left,) if alone else (left, right))]
+        for s, g in enumerate(grid):
+            own = side[r] == s
+            g[back[r[own]], c[own]] = 1
+        common += grid[0] @ grid[-1].T
+    need = np.ceil(least * (sizes[left][:, None] + sizes[right]) / (1 + least) - 1e-9)
+    good = (common >= need) & (label[left][:, None] != label[right])
+    if alone:
+        good = np.triu(good, 1)
+    i, j = np.nonzero(good)
+    top = {}
+
+    def find(x: int) -> int:
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    out = []
+    for k in np.argsort(-(common[i, j] / (sizes[left[i]] + sizes[right[j]])), kind="stable"):
+        u, v = int(left[i[k]]), int(right[j[k]])
+        x, y = find(int(label[u])), find(int(label[v]))
+        if x != y and aligned(seq[u], seq[v], least) >= least:
+            top[x] = y
+            out.append((u, v))
+    return out
+
+
+def _compare(least: float):
+    """Links (u, v) between labels, from rows sorted by tile."""
+
+    def of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        seq: list[np.ndarray] = []
+        for _, _, words in tk.each_slice(t.column("text").combine_chunks(), tk.SPACE_WORDS):
+            k, off = kmers(words)
+            seq += [k[i:j] for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        label = t.column("label").combine_chunks()
+        _, code = np.unique(np.stack([label.field(i).to_numpy() for i in (0, 1)]), axis=1, return_inverse=True)
+        pairs = np.array(compare(t.column("side").to_numpy(), code.reshape(-1), seq, least), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([label.take(pa.array(pairs[:, i])) for i in (0, 1)], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            tile = b.column("tile").to_numpy()
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(tile)) + 1, [len(tile)]]) if len(tile) else np.zeros(1, int)
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if held and tile[lo] != last:
+                    yield of(held)
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+                last = tile[lo]
+        if held:
+            yield of(held)
+
+    return run
 
 
 def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -296,22 +403,14 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     wanted = shared.select("node._id", "node._of")
     texts, forget = written(rows.select("_id", "_of", "text").join(wanted, ["_id", "_of"], "left_semi").dropDuplicates(["_id", "_of"]).select(F.struct("_id", "_of").alias("node"), "text"), "near-texts")
     links = cut_lineage(_links(_with_head(shared), texts, least))
-    labels, been, heads = components(links), None, HEADS
-    twice: DataFrame | None = None
-    while True:
-        if twice is None:
-            known = shared.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "n", "keys", *MINIMA, F.coalesce("label", "node").alias("label"))
-            twice = _twice(known)
-        rest = cut_lineage(_open(twice, been))
-        if rest.isEmpty():
-            break
-        turn = cut_lineage(_heads(rest, heads))
-        more = cut_lineage(_links(_pairs(_other(rest, turn, "inner")), texts, least))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels, twice = components(links), None
-        been = turn.select("key", "node") if been is None else been.unionByName(turn.select("key", "node"))
-        heads *= 8
+    labels = components(links)
+    known = shared.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "n", "keys", *MINIMA, F.coalesce("label", "node").alias("label"))
+    rest = cut_lineage(_open(_twice(known)))
+    if not rest.isEmpty():
+        tiles = _dealt(rest).join(texts.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("tile", "side", "label", "text")
+        more = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare(least), links.schema)
+        tops = components(more).select(F.col("node").alias("of"), F.col("label").alias("top"))
+        labels = known.join(tops, F.col("label") == F.col("of"), "left").select("node", F.coalesce("top", "label").alias("label"))
     forget()
     named = nodes.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.bitwise_not("s1").alias("t1"), F.bitwise_not("s2").alias("t2"), F.coalesce("label", "node").alias("class"))
     member = sketches.join(named, (F.bitwise_not("s1") == F.col("t1")) & (F.bitwise_not("s2") == F.col("t2"))).select("_id", "_of", "class").distinct()

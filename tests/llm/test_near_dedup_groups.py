@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from prowave.llm import near_dedup
 
 SCHEMA = "doc_id long, text string"
@@ -29,7 +31,7 @@ def test_links_within_a_large_bucket_are_found(spark):
 
 def test_unlike_texts_of_one_bucket_stay_apart(spark, monkeypatch):
     """Texts that share a bucket but no link: every round of heads ends, and none are joined."""
-    monkeypatch.setattr(near_dedup, "HEADS", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
     rng = random.Random(4)
     passage = [f"p{i}" for i in range(60)]
     rows = [(i, " ".join(passage + [f"w{rng.randrange(10_000)}" for _ in range(60)])) for i in range(40)]
@@ -44,10 +46,12 @@ def _changed(words: list[str], places: list[int], tag: str) -> list[str]:
     return out
 
 
-def test_pairs_of_one_family(spark):
+@pytest.mark.parametrize("block", [256, 30])
+def test_pairs_of_one_family(spark, monkeypatch, block):
     """Texts of one original, all in the same buckets, of which hardly any but planted pairs are 0.8 similar: brute force finds no other links."""
     from test_operators import jaccard_classes
 
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(6)
     base = [f"w{rng.randrange(100_000)}" for _ in range(400)]
     rows = []

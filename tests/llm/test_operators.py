@@ -100,9 +100,9 @@ def jaccard_classes(rows):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("heads", [16, 1])
-def test_near_dedup(spark, corpus, monkeypatch, heads):
-    monkeypatch.setattr(near_dedup, "HEADS", heads)
+@pytest.mark.parametrize("block", [256, 2])
+def test_near_dedup(spark, corpus, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     got = {r["doc_id"]: r for r in near_dedup.classes(table(spark, corpus)).collect()}
     want = jaccard_classes(corpus)
     assert {i: r["class_id"] for i, r in got.items()} == want
