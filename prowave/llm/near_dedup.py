@@ -8,9 +8,9 @@ are candidates; a candidate pair is linked if the banded alignment of its k-mer
 sequences, matched / (n1 + n2 - matched), reaches ``SIMILARITY``. Classes are the
 connected components of the links.
 
-Texts of equal words are one node from the start. First every node of a bucket
-is compared with the bucket's smallest one (its head), which joins a group of
-copies at one pair a node. Nodes that then share *two* bands (0.8 similar texts
+Texts of equal words are one node from the start. A bucket's smallest node is
+its head. First every node is compared with the ``FIRST`` heads that agree with it
+most, which joins a group of copies at a pair or two a node. Nodes that then share *two* bands (0.8 similar texts
 share 10 of 20 on average, under two with a chance of about 1e-5) with one of
 another class make *families*; a family's nodes are dealt to blocks, and all
 pairs of two classes are compared, block against block, with each text sent once
@@ -39,6 +39,7 @@ SIMILARITY = 0.8
 ORDER = 3
 BANDS = 20
 AGREE = 16
+FIRST = 2
 BLOCK = 256
 BLOCK_WORDS = 1 << 17
 VOCABULARY = 1 << 13
@@ -190,14 +191,20 @@ def _fits(a: Column, b: Column) -> Column:
 
 
 def _agree(a: str, b: str) -> Column:
-    """Whether enough minima of the two sides match: a four-bit group of the XOR that isn't 0 is a mismatch."""
+    """How many minima of the two sides match: a four-bit group of the XOR that isn't 0 is a mismatch."""
     same = F.lit(15 * len(MINIMA))
     for m in MINIMA:
         x = F.col(f"{a}{m}").bitwiseXOR(F.col(f"{b}{m}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         same = same - F.bit_count(x.bitwiseAND(F.lit(0x111111111111111)))
-    return same >= AGREE
+    return same
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """``df``, written, in as many parts as its rows call for, not as the texts do."""
+    df = cut_lineage(df)
+    return df.coalesce(max(4, -(-df.count() // ROWS_PER_TASK)))
 
 
 def _side(df: DataFrame, of: str, *more: str) -> DataFrame:
@@ -205,20 +212,19 @@ def _side(df: DataFrame, of: str, *more: str) -> DataFrame:
 
 
 def _candidate() -> Column:
-    return _fits(F.col("a_n"), F.col("b_n")) & _agree("a_", "b_")
-
-
-def _pairs(df: DataFrame) -> DataFrame:
-    return df.select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).distinct()
+    return _fits(F.col("a_n"), F.col("b_n")) & (_agree("a_", "b_") >= AGREE)
 
 
-def _with_head(nodes: DataFrame) -> DataFrame:
-    """(u, v) to compare: each node with the smallest one of each of its buckets."""
+def _with_heads(nodes: DataFrame) -> DataFrame:
+    """(u, v) to compare: each node with the heads that agree with it most."""
     rows = nodes.select(F.explode("keys").alias("key"), "node", "n", *MINIMA)
     heads = rows.groupBy("key").agg(F.min(F.struct("node", "n", *MINIMA)).alias("head")).select("key", "head.*")
     # The turned key makes Spark exchange both sides of the join, so that it can split a large bucket.
     heads = _side(heads, "b_", "key").withColumn("b_key", F.bitwise_not("b_key"))
-    return _pairs(_side(rows, "a_", "key").join(heads, (F.bitwise_not("a_key") == F.col("b_key")) & (F.col("a_node") != F.col("b_node")) & _candidate()))
+    met = _side(rows, "a_", "key").join(heads, (F.bitwise_not("a_key") == F.col("b_key")) & (F.col("a_node") != F.col("b_node")) & _candidate())
+    best = met.groupBy("a_node").agg(F.collect_set(F.struct((-_agree("a_", "b_")).alias("off"), F.col("b_node").alias("head"))).alias("heads"))
+    pairs = best.select("a_node", F.explode(F.slice(F.array_sort("heads"), 1, FIRST)["head"]).alias("head"))
+    return pairs.select(F.least("a_node", "head").alias("u"), F.greatest("a_node", "head").alias("v")).distinct()
 
 
 def _twice(nodes: DataFrame) -> DataFrame:
@@ -247,26 +253,24 @@ def _open(rows: DataFrame) -> DataFrame:
 def _dealt(rest: DataFrame) -> DataFrame:
     """(node, label, side, tile): each open node in all tiles of its family that its block is in.
 
-    A block is a part of one large class or of several small ones; a tile is two
-    blocks of a family (or one, if it has several classes).
+    A family's largest class is dealt to blocks of its own, the others to
+    blocks that are numbered first; a tile is two blocks, or one, but not two of
+    the largest class.
     """
     heads = rest.groupBy("key").agg(F.min("node").alias("u")).select(F.bitwise_not("key").alias("turned"), "u")
-    ties = rest.join(heads, F.bitwise_not("key") == F.col("turned")).filter(F.col("u") != F.col("node")).select("u", F.col("node").alias("v")).distinct()
+    ties = rest.join(heads, F.bitwise_not("key") == F.col("turned")).filter(F.col("u") != F.col("node")).select("u", F.col("node").alias("v"))
     family = components(ties).select(F.col("node").alias("of"), F.col("label").alias("family"))
-    rows = cut_lineage(rest.select("node", "n", "label").distinct().join(family, F.col("node") == F.col("of")).drop("of"))
-    parts = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("w") / BLOCK_WORDS))
-    size = [F.count(F.lit(1)).alias("c"), F.sum("n").alias("w")]
-    by = rows.groupBy("family", "label").agg(*size).withColumn("parts", parts)
-    pool = by.filter("parts = 1").groupBy("family").agg(F.sum("c").alias("c"), F.sum("w").alias("w")).select(F.col("family").alias("pool"), parts.alias("pool_parts"))
-    by = by.join(pool, F.col("family") == F.col("pool"), "left").select("family", "label", "parts", "pool_parts")
-    large = F.col("parts") > 1
-    block = F.when(large, F.xxhash64("family", "label", F.pmod(F.xxhash64("node"), F.col("parts")))).otherwise(F.xxhash64("family", F.pmod(F.xxhash64("label"), F.col("pool_parts"))))
-    rows = rows.join(by, ["family", "label"]).select("node", "label", "family", block.alias("block"), F.when(large, F.col("label")).alias("pure"))
-    blocks = rows.select("family", "block", "pure").distinct()
-    a, b = (blocks.select(F.col("family").alias(f"{x}_family"), F.col("block").alias(x), F.col("pure").alias(f"{x}_pure")) for x in "ab")
-    tiles = a.join(b, (F.col("a_family") == F.col("b_family")) & (F.col("a") <= F.col("b")) & ~F.coalesce(F.col("a_pure") == F.col("b_pure"), F.lit(False)))
-    ends = tiles.select(F.xxhash64("a", "b").alias("tile"), F.explode(F.array_distinct(F.array(F.struct(F.col("a").alias("at"), F.lit(0).alias("side")), F.struct(F.col("b").alias("at"), F.when(F.col("a") == F.col("b"), 0).otherwise(1).alias("side"))))).alias("x")).select("tile", "x.*")
-    return rows.join(ends, F.col("block") == F.col("at")).select("node", "label", "side", "tile")
+    rows = _sized(rest.select("node", "n", "label").distinct().join(family, F.col("node") == F.col("of")).drop("of"))
+    by = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    by = by.groupBy("family").agg(F.max(F.struct("c", "label", "w")).alias("most"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    parts = lambda c, w: F.greatest(F.lit(1), F.ceil(c / BLOCK), F.ceil(w / BLOCK_WORDS))
+    by = by.select(F.col("family").alias("own"), F.col("most.label").alias("most"), parts(F.col("c") - F.col("most.c"), F.col("w") - F.col("most.w")).alias("others"), parts(F.col("most.c"), F.col("most.w")).alias("mosts"))
+    rows = rows.join(by, F.col("family") == F.col("own")).withColumn("large", F.col("label") == F.col("most"))
+    spot = F.xxhash64("node")
+    rows = rows.withColumn("block", F.when(F.col("large"), F.col("others") + F.pmod(spot, F.col("mosts"))).otherwise(F.pmod(spot, F.col("others"))))
+    met = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("others") + F.when(F.col("large"), F.lit(0)).otherwise(F.col("mosts")) - 1)))
+    tile = F.xxhash64("family", F.least("block", "with"), F.greatest("block", "with"))
+    return met.select("node", "label", F.when(F.col("block") <= F.col("with"), 0).otherwise(1).alias("side"), tile.alias("tile"))
 
 
 def compare(side: np.ndarray, label: np.ndarray, seq: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -373,7 +377,7 @@ def components(links: DataFrame) -> DataFrame:
     both = both.coalesce(parts)
     labels = cut_lineage(both.groupBy("u").agg(F.min("v").alias("near")).select(F.col("u").alias("node"), F.least("u", "near").alias("label")).coalesce(parts))
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").coalesce(parts).groupBy("u").agg(F.min("label").alias("near"))
+        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").coalesce(parts).groupBy("u").agg(F.min("label").alias("near")).coalesce(parts)
         moved = labels.join(near, F.col("node") == F.col("u")).select("node", F.least("label", "near").alias("next"), "label")
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
         after = cut_lineage(moved.join(jump, F.col("next") == F.col("at")).select("node", F.least("next", "further").alias("next"), "label").coalesce(parts))
@@ -399,13 +403,13 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # Only buckets of two or more nodes matter from here on, and only the texts of nodes in one.
     spread = nodes.select("node", "n", *MINIMA, F.explode("bands").alias("key"))
     several = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.bitwise_not("key").alias("turned"))
-    shared = cut_lineage(spread.join(several, F.bitwise_not("key") == F.col("turned"), "left_semi").groupBy("node", "n", *MINIMA).agg(F.collect_list("key").alias("keys")))
+    shared = _sized(spread.join(several, F.bitwise_not("key") == F.col("turned"), "left_semi").groupBy("node", "n", *MINIMA).agg(F.collect_list("key").alias("keys")))
     wanted = shared.select("node._id", "node._of")
     texts, forget = written(rows.select("_id", "_of", "text").join(wanted, ["_id", "_of"], "left_semi").dropDuplicates(["_id", "_of"]).select(F.struct("_id", "_of").alias("node"), "text"), "near-texts")
-    links = cut_lineage(_links(_with_head(shared), texts, least))
+    links = cut_lineage(_links(_with_heads(shared), texts, least))
     labels = components(links)
     known = shared.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "n", "keys", *MINIMA, F.coalesce("label", "node").alias("label"))
-    rest = cut_lineage(_open(_twice(known)))
+    rest = _sized(_open(_twice(known)))
     if not rest.isEmpty():
         tiles = _dealt(rest).join(texts.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("tile", "side", "label", "text")
         more = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare(least), links.schema)
