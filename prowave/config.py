@@ -7,6 +7,9 @@ from collections.abc import Mapping
 from dataclasses import asdict, dataclass, fields, replace
 
 ALGORITHMS = ("featpush", "featreuse", "featpca")
+TRANSFORMS = ("none", "bias", "bn", "biasbn")
+#: How nodes are split where no stored split is given; "restratify" deals a stored one anew, by its sizes.
+SPLITS = ("stratified", "random", "by_label", "restratify")
 
 
 @dataclass(frozen=True)
@@ -32,8 +35,16 @@ class Config:
     multil: bool = False
     inductive: bool = False
     blocks: int = 10
+    staged: bool = False
+    split: str = "stratified"
+    train: int = 0
+    val: int = 0
 
     def __post_init__(self):
+        if self.bias not in TRANSFORMS:
+            raise ValueError(f"unknown bias {self.bias!r}: one of {', '.join(TRANSFORMS)}")
+        if self.split not in SPLITS:
+            raise ValueError(f"unknown split {self.split!r}: one of {', '.join(SPLITS)}")
         if self.algo not in ALGORITHMS:
             raise ValueError(f"unknown algorithm {self.algo!r}: one of {', '.join(ALGORITHMS)}")
 
@@ -52,6 +63,6 @@ class Config:
         with open(path, "w") as f:
             json.dump(asdict(self), f, indent=2)
 
-    def score_name(self) -> str:
-        """The folder of the embeddings that these parameters give."""
-        return f"{self.algo}_{self.seed}/score_{self.alpha:g}_{self.epsilon:g}"
+    def score_name(self, part: str = "") -> str:
+        """The folder of the embeddings that these parameters give; ``part`` is ``_train`` for those of the training nodes' own graph."""
+        return f"{self.algo}{part}_{self.seed}/score_{self.alpha:g}_{self.epsilon:g}"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prowave.functions.scalar import clip, degree_power
@@ -71,10 +75,27 @@ def matrix_norms(long: DataFrame) -> DataFrame:
 
 
 def gram(wide: DataFrame, width: int) -> DataFrame:
-    """(i, j, p): products of all pairs i <= j of ``width`` features, by one pass with partial sums, without a join of values."""
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.transform(F.sequence(i, F.lit(width - 1)), lambda j: F.struct(i.alias("i"), j.alias("j"), (F.get("embedding", i) * F.get("embedding", j)).alias("v"))))
-    flat = wide.select(F.explode(F.flatten(pairs)).alias("p")).select("p.*")
-    return flat.groupBy("i", "j").agg(F.sum("v").alias("p"))
+    """(i, j, p): products of all pairs i <= j of ``width`` features: one matrix product a batch, one row a pair and task."""
+    i, j = np.triu_indices(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        seen = False
+        for b in batches:
+            if b.num_rows:
+                x = np.stack(b.column("x").to_numpy(zero_copy_only=False))[:, :width]
+                total += x.T @ x
+                seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "v"])
+
+    return wide.select(F.col("embedding").cast("array<double>").alias("x")).mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("p"))
+
+
+def dense_wide(long: DataFrame, feats: list[int]) -> DataFrame:
+    """(id, embedding): the values of ``feats`` in that order, 0 where there is none."""
+    by = long.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("feat", "value"))).alias("x"))
+    return by.select("id", F.transform(F.array(*[F.lit(f) for f in feats]), lambda f: F.coalesce(F.try_element_at("x", f), F.lit(0.0))).alias("embedding"))
 
 
 def l1_distances(long: DataFrame, a: int, b: int) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from prowave.functions.scalar import lcg
 
 BLOCK = 1 << 16
+#: Nodes with more edges than this are ranked in parts.
+HUB = 1 << 20
 
 
 def clean_edges(edges: DataFrame, keep_loops: bool = True, dedup: bool = False) -> DataFrame:
@@ -62,14 +64,35 @@ def csr_offsets(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return prefix_sum(d, "id", F.col("in_degree"), "in_offset").select("id", "out_offset", "in_offset")
 
 
+def ranked(df: DataFrame, keys: list[str], part: Column, order: list, name: str) -> DataFrame:
+    """``df`` with each row's place, from 0, among the rows of its keys by (part, order). No task has more than one part of a key, or one key's parts."""
+    df = df.withColumn("_p", part)
+    totals = df.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_t"))
+    before = F.coalesce(F.sum("_t").over(W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = totals.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.col("_p").alias("_q"), before.alias("_base"))
+    inside = df.withColumn("_in", F.row_number().over(W.partitionBy(*keys, "_p").orderBy(*order)) - 1)
+    same = F.col("_p") == F.col("_q")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    return inside.join(base, same).withColumn(name, (F.col("_base") + F.col("_in")).cast("int")).drop("_p", "_q", "_in", "_base", *[f"_{i}" for i in range(len(keys))])
+
+
+def _places(edges: DataFrame, key: str, by: str, name: str) -> DataFrame:
+    """Each edge's place among those of its ``key`` in the order of ``by``; hubs are ranked in parts of BLOCK ids of the other end."""
+    hubs = edges.groupBy(F.col(key).alias("hub")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HUB).select("hub")
+    few = edges.join(hubs, F.col(key) == F.col("hub"), "left_anti").withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(by)) - 1)
+    many = edges.join(hubs, F.col(key) == F.col("hub"), "left_semi")
+    return few.unionByName(ranked(many, [key], F.floor(F.col(by) / BLOCK), [by], name))
+
+
 def adjacency_slots(edges: DataFrame) -> DataFrame:
     """(src, dst, slot): the place of each neighbour in its node's sorted list, from 0."""
-    return edges.select("src", "dst", (F.row_number().over(W.partitionBy("src").orderBy("dst")) - 1).alias("slot"))
+    return _places(edges.select("src", "dst"), "src", "dst", "slot")
 
 
 def reverse_index(edges: DataFrame) -> DataFrame:
     """(dst, src, turn): the appearances of each node as a neighbour, in order of where they come from."""
-    return edges.select("dst", "src", (F.row_number().over(W.partitionBy("dst").orderBy("src")) - 1).alias("turn"))
+    return _places(edges.select("dst", "src"), "dst", "src", "turn")
 
 
 def retarget(edges: DataFrame, old: int, new: int) -> DataFrame:

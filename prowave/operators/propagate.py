@@ -4,15 +4,17 @@
 edge row moves all features of a block at once and sums stay in generated code.
 Rounds are synchronous: every active node is pushed at once. That order isn't
 the one of a queue, but the end is held to the same condition: no residual
-reaches its node's degree.
+reaches its node's degree. Edge rows know the degrees of both ends, so a round
+needs no other table; a push to the bound reads and deals the edges once, keeps
+them by source, and counts what is still active in the job that writes the state.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from prowave.session import cut_lineage
 
@@ -57,56 +59,86 @@ def first_threshold(edges: int, n: int, budget: float, alpha: float) -> float:
     return edges / n * first / step / (1 - alpha) / 4
 
 
-def start_state(seeds: DataFrame, columns: list[str], budget: float, queries: DataFrame | None = None) -> DataFrame:
-    """(id, r_*, m_*): scaled seeds as residuals; nodes whose seeds are all 0, or that aren't among the queries, are left out."""
+def two_ends(weights: DataFrame) -> DataFrame:
+    """(src, dst, w, degree, dst_degree): the edges of ``graph.weighted`` with the out-degree of the other end, 0 at dead ends."""
+    degree = weights.groupBy(F.col("src").alias("of")).agg(F.first("degree").alias("dst_degree"))
+    return weights.join(degree, F.col("dst") == F.col("of"), "left").select("src", "dst", "w", "degree", F.coalesce("dst_degree", F.lit(0)).alias("dst_degree"))
+
+
+def start_state(edges: DataFrame, seeds: DataFrame, columns: list[str], budget: float | dict[str, float], queries: DataFrame | None = None) -> DataFrame:
+    """(id, degree, r_*, m_*): seeds times their column's budget as residuals; nodes whose seeds are all 0, or that aren't among the queries, are left out."""
+    of = budget if isinstance(budget, dict) else dict.fromkeys(columns, budget)
     seeds = seeds if queries is None else seeds.join(queries.select("id"), "id", "left_semi")
-    some = reduce(lambda a, b: a | b, [F.col(c) != 0 for c in columns])
-    return seeds.filter(some).select("id", *[(F.col(c) * budget).alias(f"r_{c}") for c in columns], *[F.lit(0.0).alias(f"m_{c}") for c in columns])
+    some = F.exists(F.array(*columns), lambda v: v != 0)
+    degree = edges.groupBy(F.col("src").alias("of")).agg(F.first("degree").alias("degree"))
+    seeds = seeds.filter(some).join(degree, F.col("id") == F.col("of"), "left")
+    return seeds.select("id", F.coalesce("degree", F.lit(0)).alias("degree"), *[(F.col(c) * of[c]).alias(f"r_{c}") for c in columns], *[F.lit(0.0).alias(f"m_{c}") for c in columns])
 
 
 def _active(c: str, alpha: float, scale: Column | float) -> Column:
     return (F.abs((1 - alpha) * F.col(f"r_{c}")) >= F.col("degree") * scale) & (F.col("degree") > 0)
 
 
-def push_round(weights: DataFrame, degree: DataFrame, state: DataFrame, columns: list[str], alpha: float, scale: float = 1.0) -> DataFrame:
+def any_active(columns: list[str], alpha: float, scale: Column | float) -> Column:
+    """Whether the largest residual is active: one comparison, whatever the number of columns."""
+    each = [F.abs((1 - alpha) * F.col(f"r_{c}")) for c in columns]
+    return ((F.greatest(*each) if len(each) > 1 else each[0]) >= F.col("degree") * scale) & (F.col("degree") > 0)
+
+
+def push_round(edges: DataFrame, state: DataFrame, columns: list[str], alpha: float, scale: float = 1.0) -> DataFrame:
     """One synchronous round. Nodes below ``degree * scale`` keep their residuals; only active ones meet the edges."""
-    s = state.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     zero = F.lit(0.0)
     hot = {c: _active(c, alpha, scale) for c in columns}
-    front = s.filter(reduce(lambda a, b: a | b, hot.values())).select("id", *[F.when(hot[c], F.col(f"r_{c}")).otherwise(zero).alias(f"r_{c}") for c in columns])
-    moved = weights.join(front, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), *[((1 - alpha) * F.col("w") * F.col(f"r_{c}")).alias(f"r_{c}") for c in columns], *[zero.alias(f"m_{c}") for c in columns])
-    stay = s.select("id", *[F.when(hot[c], zero).otherwise(F.col(f"r_{c}")).alias(f"r_{c}") for c in columns], *[(F.col(f"m_{c}") + F.when(hot[c], alpha * F.col(f"r_{c}")).otherwise(zero)).alias(f"m_{c}") for c in columns])
-    return stay.unionAll(moved).groupBy("id").agg(*[F.sum(f"{x}_{c}").alias(f"{x}_{c}") for x in "rm" for c in columns])
-
-
-def push(weights: DataFrame, degree: DataFrame, state: DataFrame, columns: list[str], alpha: float, scales: list[int] = [1], rounds: int = 10_000) -> DataFrame:  # noqa: B006
-    """Rounds at each scale until no node is active; the state is written after each, so a round reads two tables and no history."""
-    for scale in scales:
-        for _ in range(rounds):
-            now = state.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-            if now.filter(reduce(lambda a, b: a | b, [_active(c, alpha, scale) for c in columns])).isEmpty():
-                break
-            state = cut_lineage(push_round(weights, degree, state, columns, alpha, scale))
+    front = state.filter(any_active(columns, alpha, scale)).select("id", *[F.when(hot[c], F.col(f"r_{c}")).otherwise(zero).alias(f"r_{c}") for c in columns])
+    moved = edges.join(front, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), F.col("dst_degree").alias("degree"), *[((1 - alpha) * F.col("w") * F.col(f"r_{c}")).alias(f"r_{c}") for c in columns], *[zero.alias(f"m_{c}") for c in columns])
+    stay = state.select("id", "degree", *[F.when(hot[c], zero).otherwise(F.col(f"r_{c}")).alias(f"r_{c}") for c in columns], *[(F.col(f"m_{c}") + F.when(hot[c], alpha * F.col(f"r_{c}")).otherwise(zero)).alias(f"m_{c}") for c in columns])
+    return stay.unionAll(moved).groupBy("id").agg(F.max("degree").alias("degree"), *[F.sum(f"{x}_{c}").alias(f"{x}_{c}") for x in "rm" for c in columns])
+
+
+def _written(state: DataFrame, columns: list[str], alpha: float, scales: list[float]) -> tuple[DataFrame, list[int]]:
+    """The state, written, and by scale how many nodes are active in it: one job."""
+    seen = Observation()
+    state = cut_lineage(state.observe(seen, *[F.count(F.when(any_active(columns, alpha, s), 1)).alias(f"n{i}") for i, s in enumerate(scales)]))
+    return state, [seen.get[f"n{i}"] for i in range(len(scales))]
+
+
+def push(edges: DataFrame, state: DataFrame, columns: list[str], alpha: float, scales: list[float] = [1], rounds: int = 10_000) -> DataFrame:  # noqa: B006
+    """Rounds at each scale until no node is active; the state is written after each, so a round reads it and the kept edges and no history."""
+    kept = edges.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        state, active = _written(state, columns, alpha, scales)
+        for k, scale in enumerate(scales):
+            for _ in range(rounds):
+                if not active[k]:
+                    break
+                state, active = _written(push_round(kept, state, columns, alpha, scale), columns, alpha, scales)
+    finally:
+        kept.unpersist()
     return state
 
 
-def closure(state: DataFrame, columns: list[str], alpha: float, budget: float, sink: int | None = None) -> DataFrame:
+def closure(state: DataFrame, columns: list[str], alpha: float, budget: float | dict[str, float], sink: int | None = None) -> DataFrame:
     """Estimates: each node takes alpha of what residual it has left, and all is divided by the budget.
 
     With a ``sink``, what ended there is spread in proportion: values are divided
     by the share that didn't, and the sink itself gets 0.
     """
-    out = state.select("id", *[((F.col(f"m_{c}") + alpha * F.col(f"r_{c}")) / budget).alias(c) for c in columns])
+    of = budget if isinstance(budget, dict) else dict.fromkeys(columns, budget)
+    out = state.select("id", *[((F.col(f"m_{c}") + alpha * F.col(f"r_{c}")) / of[c]).alias(c) for c in columns])
     if sink is None:
         return out
     lost = state.filter(F.col("id") == sink).agg(*[F.coalesce(F.sum(F.abs(F.col(f"r_{c}")) + F.abs(F.col(f"m_{c}") + alpha * F.col(f"r_{c}"))), F.lit(0.0)).alias(f"l_{c}") for c in columns])
     row = lost.first()
-    return out.select("id", *[F.when(F.col("id") == sink, F.lit(0.0)).otherwise(F.col(c) / (1 - row[f"l_{c}"] / budget)).alias(c) for c in columns])
+    return out.select("id", *[F.when(F.col("id") == sink, F.lit(0.0)).otherwise(F.col(c) / (1 - row[f"l_{c}"] / of[c])).alias(c) for c in columns])
+
 
+def estimate(weights: DataFrame, seeds: DataFrame, columns: list[str], n: int, alpha: float, epsilon: float, gamma: float | dict[str, float] = 1.0, staged: bool = False) -> DataFrame:
+    """Error-bounded estimates of all seed columns: |error| of a node is at most its degree / W on undirected graphs.
 
-def estimate(weights: DataFrame, seeds: DataFrame, columns: list[str], n: int, alpha: float, epsilon: float, gamma: float = 1.0, staged: bool = False) -> DataFrame:
-    """Error-bounded estimates of all seed columns: |error| of a node is at most its degree / W on undirected graphs."""
-    budget = walk_budget(n, epsilon, gamma)
-    degree = weights.select(F.col("src").alias("id"), "degree").distinct()
-    scales = [*stage_ladder(n, budget), 1] if staged else [1]
-    return closure(push(weights, degree, start_state(seeds, columns, budget), columns, alpha, scales), columns, alpha, budget)
+    ``gamma`` may differ by column. ``staged`` goes down the ladder of the largest budget.
+    """
+    gammas = gamma if isinstance(gamma, dict) else dict.fromkeys(columns, gamma)
+    budget = {c: walk_budget(n, epsilon, gammas[c]) for c in columns}
+    edges = two_ends(weights)
+    scales = [*stage_ladder(n, max(budget.values())), 1] if staged else [1]
+    return closure(push(edges, start_state(edges, seeds, columns, budget), columns, alpha, scales), columns, alpha, budget)

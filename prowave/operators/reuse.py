@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from prowave.session import cut_lineage
 
 from . import propagate
+from .decomp import summed
+from .features import dense_wide, gram, to_wide
 
 PASSES = 5
 LEAST_WEIGHT = 1e-4
@@ -43,10 +47,9 @@ def arg_kmin(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
     return least.select(key, value, F.row_number().over(W.orderBy(F.desc(value), F.desc(key))).alias("turn"))
 
 
-def by_abs_desc(df: DataFrame, key: str, value: str, within: list[str] | None = None) -> DataFrame:
-    """(…, turn) in order of falling absolute value."""
-    w = W.partitionBy(*within) if within else W.partitionBy(F.lit(0))
-    return df.withColumn("turn", F.row_number().over(w.orderBy(F.desc(F.abs(value)), key)))
+def by_abs_desc(df: DataFrame, key: str, value: str, within: list[str]) -> DataFrame:
+    """(…, turn) in order of falling absolute value among the rows of equal ``within``."""
+    return df.withColumn("turn", F.row_number().over(W.partitionBy(*within).orderBy(F.desc(F.abs(value)), key)))
 
 
 def accepts(theta: Column, before: Column, after: Column) -> Column:
@@ -76,25 +79,55 @@ def l1_residue(long: DataFrame, bases: DataFrame) -> DataFrame:
 
 
 def greedy_weights(long: DataFrame, bases: DataFrame, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
-    """(feat, base, theta) and the residual features: in each pass every feature gives its projection on the nearest base away.
+    """(feat, base, theta) and the residual features (feat, id, value): in each pass every feature gives its projection on the nearest base away.
 
-    The residual is written after each pass, so a pass costs the same as the first.
+    Rows are written once in wide form. A pass is two scans of them: all products
+    of features and bases, then the residuals' norms; features x bases numbers
+    come to the driver, and the residual is always the input less bases x weights.
     """
-    base = cut_lineage(long.join(bases.select("feat"), "feat", "left_semi").select(F.col("feat").alias("base"), "id", F.col("value").alias("b")))
-    size = base.groupBy("base").agg(F.sum(F.col("b") * F.col("b")).alias("bb")).filter("bb > 0")
-    rest = long.join(bases.select("feat"), "feat", "left_anti")
-    weights: DataFrame | None = None
+    spark = long.sparkSession
+    chosen = sorted(r["feat"] for r in bases.select("feat").distinct().collect())
+    others = sorted(r["feat"] for r in long.select("feat").distinct().collect() if r["feat"] not in set(chosen))
+    schema = "feat int, base int, theta double"
+    if not others or not chosen:
+        return spark.createDataFrame([], schema), long.filter(~F.col("feat").isin(chosen))
+    k = len(chosen)
+    wide = cut_lineage(dense_wide(long, [*chosen, *others]))
+    total = np.zeros((k, len(others)))
+    met: dict[tuple[int, int], float] = {}
+
+    def rest(x: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        return x[:, k:] - x[:, :k] @ theta
+
     for _ in range(passes):
-        own = rest.groupBy("feat").agg(F.sum(F.col("value") * F.col("value")).alias("vv"), F.sum(F.abs("value")).alias("before"))
-        dots = rest.join(base, "id").groupBy("feat", "base").agg(F.sum(F.col("value") * F.col("b")).alias("p"))
-        near = dots.join(size, "base").join(own, "feat").filter("vv > 0").withColumn("dist", F.round(1 - F.abs(F.col("p") / (F.sqrt("vv") * F.sqrt("bb"))), 9))
-        pick = near.groupBy("feat").agg(F.min(F.struct("dist", "base", "p", "bb", "before")).alias("x")).select("feat", "x.base", (F.col("x.p") / F.col("x.bb")).alias("theta"), "x.before")
-        moved = rest.join(pick, "feat").join(base, ["base", "id"], "left").withColumn("left", F.col("value") - F.col("theta") * F.coalesce("b", F.lit(0.0)))
-        after = moved.groupBy("feat").agg(F.sum(F.abs("left")).alias("after"))
-        took = cut_lineage(pick.join(after, "feat").select("feat", "base", F.when(accepts(F.col("theta"), F.col("before"), F.col("after")), F.col("theta")).otherwise(F.lit(0.0)).alias("theta")))
-        rest = cut_lineage(rest.join(took, "feat", "left").join(base, ["base", "id"], "left").select("feat", "id", (F.col("value") - F.coalesce("theta", F.lit(0.0)) * F.coalesce("b", F.lit(0.0))).alias("value")))
-        weights = took if weights is None else weights.unionAll(took)
-    return weights.groupBy("feat", "base").agg(F.sum("theta").alias("theta")), rest
+        got = summed(wide, ["embedding"], lambda x, t=total: np.concatenate([x[:, :k].T @ (r := rest(x, t)), (r**2).sum(0)[None], np.abs(r).sum(0)[None], np.broadcast_to((x[:, :k] ** 2).sum(0)[:, None], (k, r.shape[1]))]))
+        if not len(got):
+            break
+        got = got.reshape(2 * k + 2, -1)
+        dots, vv, before, bb = got[:k], got[k], got[k + 1], got[k + 2 :, 0]
+        good = (bb[:, None] > 0) & (vv > 0)
+        dist = np.where(good, np.round(1 - np.abs(dots / np.sqrt(np.where(good, vv * bb[:, None], 1))), 9), np.inf)
+        near = dist.argmin(0)
+        at = np.flatnonzero(good.any(0))
+        move = np.zeros_like(total)
+        move[near[at], at] = dots[near[at], at] / bb[near[at]]
+        after = summed(wide, ["embedding"], lambda x, t=total + move: np.abs(rest(x, t)).sum(0))
+        took = (np.abs(move).sum(0) >= LEAST_WEIGHT) & (after <= before)
+        move *= took
+        total = total + move
+        for f in at.tolist():
+            key = (others[f], chosen[near[f]])
+            met[key] = met.get(key, 0.0) + float(move[near[f], f])
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                r = rest(np.stack(b.column("embedding").to_numpy(zero_copy_only=False)), total)
+                ids = b.column("id").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.array(others, np.int32), len(ids))), pa.array(np.repeat(ids, len(others))), pa.array(r.reshape(-1))], names=["feat", "id", "value"])
+
+    weights = spark.createDataFrame([(f, b, t) for (f, b), t in sorted(met.items())], schema)
+    return weights, wide.mapInArrow(left, "feat int, id long, value double")
 
 
 def reduce_by(theta: DataFrame, long: DataFrame, base_size: int, n: int, least: float = 1e-2) -> DataFrame:
@@ -115,10 +148,11 @@ def combine(estimates: DataFrame, weights: DataFrame, base_results: DataFrame) -
     return estimates.select("feat", "id", "value").unionAll(shares).groupBy("feat", "id").agg(F.sum("value").alias("value"))
 
 
-def reuse_stats(weights: DataFrame) -> DataFrame:
-    """One row: how many features were reduced, and their mean sum of absolute weights."""
-    by = weights.groupBy("feat").agg(F.sum(F.abs("theta")).alias("t"))
-    return by.agg(F.count(F.lit(1)).alias("reused"), F.avg("t").alias("mean_theta"))
+def reuse_stats(weights: DataFrame, rest: DataFrame) -> DataFrame:
+    """One row: how many features were reduced, their mean sum of absolute weights, and their residuals' mean L1 norm."""
+    by = weights.groupBy(F.col("feat").alias("of")).agg(F.sum(F.abs("theta")).alias("t"))
+    left = rest.groupBy("feat").agg(F.sum(F.abs("value")).alias("l1"))
+    return left.join(by, F.col("feat") == F.col("of"), "left").agg(F.count("t").alias("reused"), F.avg("t").alias("mean_theta"), F.avg("l1").alias("mean_residue"))
 
 
 Reducer = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
@@ -127,29 +161,26 @@ Reducer = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 def push_with_reuse(weights: DataFrame, long: DataFrame, n: int, alpha: float, epsilon: float, gamma: float = 0.2, ratio: float = 0.04, reducer: Reducer = greedy_weights, bases: DataFrame | None = None) -> DataFrame:
     """(feat, id, value) for all features: bases with a budget of 1 / gamma, the rest reduced by ``reducer`` and pushed cheaply.
 
-    The rest shares one budget here, that of the mean weight, so that all its
-    columns move in one job; the divisor stays positive whatever the weights.
+    A reduced feature's budget is that of its own sum of weights; all columns
+    move in one job, and the divisor stays positive whatever the weights.
     """
     feats = [r["feat"] for r in long.select("feat").distinct().orderBy("feat").collect()]
     if bases is None:
-        from .features import gram, to_wide
-
         bases = base_features(cosine_pairs(gram(to_wide(long), len(feats))), base_count(len(feats), ratio))
     bases = cut_lineage(bases.select("feat"))
     chosen = {r["feat"] for r in bases.collect()}
 
-    def pushed(values: DataFrame, names: list[int], g: float) -> DataFrame:
-        columns = [f"x{f}" for f in names]
-        wide = values.groupBy("id").pivot("feat", names).agg(F.first("value")).na.fill(0.0)
-        wide = wide.select("id", *[F.col(str(f)).alias(f"x{f}") for f in names])
-        out = propagate.estimate(weights, wide, columns, n, alpha, epsilon, g)
+    def pushed(values: DataFrame, names: list[int], gammas: dict[int, float]) -> DataFrame:
+        wide = dense_wide(values.filter(F.col("feat").isin(names)), names)
+        wide = wide.select("id", *[F.get("embedding", F.lit(i)).alias(f"x{f}") for i, f in enumerate(names)])
+        out = propagate.estimate(weights, wide, [f"x{f}" for f in names], n, alpha, epsilon, {f"x{f}": g for f, g in gammas.items()})
         return out.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("feat"), F.col(f"x{f}").alias("value")) for f in names])).alias("x")).select("x.feat", "id", "x.value")
 
-    base_results = cut_lineage(pushed(long.filter(F.col("feat").isin(*chosen)), sorted(chosen), gamma))
+    base_results = cut_lineage(pushed(long, sorted(chosen), {f: gamma for f in chosen}))
     others = [f for f in feats if f not in chosen]
     if not others:
         return base_results
     theta, rest = reducer(long, bases)
-    mean = theta.groupBy("feat").agg(F.sum(F.abs("theta")).alias("t")).agg(F.avg("t")).first()[0] or 0.0
-    estimates = pushed(rest, others, max(2 - gamma * mean, 1e-3))
+    sums = {r["feat"]: r["t"] for r in theta.groupBy("feat").agg(F.sum(F.abs("theta")).alias("t")).collect()}
+    estimates = pushed(rest, others, {f: max(2 - gamma * sums.get(f, 0.0), 1e-3) for f in others})
     return combine(estimates, theta, base_results).unionAll(base_results)

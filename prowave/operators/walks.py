@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prowave.functions.scalar import LCG_M, lcg
-
 from prowave.session import cut_lineage
 
 from .graph import adjacency_slots
@@ -20,24 +17,18 @@ def _draw(walk: Column, step: int, salt: int) -> Column:
     return lcg(walk * 31 + F.lit(step * 1009 + salt))
 
 
-def _hashed(walk: Column, step: int, salt: int) -> Column:
-    """For walks of any length: lcg()'s draws of successive steps lie at one distance, so lengths wouldn't be geometric."""
-    return F.pmod(F.xxhash64(walk, F.lit(step), F.lit(salt)), F.lit(1 << 62))
-
-
-def walk_step(walks: DataFrame, slots: DataFrame, step: int, alpha: float | None = None, draw: Callable[[Column, int, int], Column] = _draw) -> DataFrame:
+def walk_step(walks: DataFrame, slots: DataFrame, step: int, alpha: float | None = None) -> DataFrame:
     """(walk, cur, done) after one step: with chance ``alpha`` a walk stops (null: never), else it goes to a random neighbour.
 
     ``walks`` has (walk, cur, done), ``slots`` has (src, dst, slot, degree). A
-    walk at a dead end stops there. Further columns of ``walks`` stay.
+    walk at a dead end stops there.
     """
-    stop = F.lit(False) if alpha is None else draw(F.col("walk"), step, 0) % int(_RANGE) < alpha * _RANGE
-    kept = [c for c in walks.columns if c not in ("cur", "done")]
-    w = walks.withColumn("done", F.col("done") | stop).withColumn("pick", draw(F.col("walk"), step, 500))
+    stop = F.lit(False) if alpha is None else _draw(F.col("walk"), step, 0) % int(_RANGE) < alpha * _RANGE
+    w = walks.withColumn("done", F.col("done") | stop).withColumn("pick", _draw(F.col("walk"), step, 500))
     degree = slots.filter("slot = 0").select(F.col("src").alias("at"), "degree")
     w = w.join(degree, F.col("cur") == F.col("at"), "left").withColumn("done", F.col("done") | F.col("degree").isNull())
     w = w.withColumn("want", F.when(~F.col("done"), F.col("pick") % F.col("degree")))
-    return w.join(slots.select("src", "dst", "slot"), (F.col("cur") == F.col("src")) & (F.col("want") == F.col("slot")), "left").select(*kept, F.coalesce("dst", "cur").alias("cur"), "done")
+    return w.join(slots.select("src", "dst", "slot"), (F.col("cur") == F.col("src")) & (F.col("want") == F.col("slot")), "left").select("walk", F.coalesce("dst", "cur").alias("cur"), "done")
 
 
 def slots_with_degree(edges: DataFrame) -> DataFrame:
@@ -46,43 +37,46 @@ def slots_with_degree(edges: DataFrame) -> DataFrame:
     return s.join(degree, s["src"] == degree["of"]).select("src", "dst", "slot", "degree")
 
 
-def walk_cache(edges: DataFrame, alpha: float, steps: int | None = None) -> DataFrame:
-    """(id, k, end_id): as many walks from each node as it has neighbours; the first hop is the k-th neighbour, then each goes on until the coin stops it.
+def coin(step: Column | int, salt: str) -> Column:
+    """A number from 0 to 2^32 - 1 for a step of the walk (id, k), independent of all others: lcg() draws of successive steps aren't."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", "id", "k", F.lit(step).cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("long")
+
 
-    ``steps`` cuts walks after so many further hops; then draws are those of the
-    SQL counterpart, which numbers walks by src * 4096 + slot.
+def walk_cache(edges: DataFrame, alpha: float) -> DataFrame:
+    """(id, k, end_id): as many walks from each node as it has neighbours. Each makes a hop, and further ones until the coin stops it or it is at a dead end.
+
+    A round moves the walks that are still open, and writes them; the others
+    have ended. Walks are known by their node and number, whatever the degree.
     """
-    slots = slots_with_degree(edges)
-    if steps is not None:
-        # The number only seeds draws: from slot 4096 on it would be the next node's.
-        number = F.when(F.col("slot") < 4096, F.col("src") * 4096 + F.col("slot")).otherwise(F.pmod(F.xxhash64("src", "slot"), F.lit(1 << 31)))
-    elif alpha > 0:
-        number = F.xxhash64("src", "slot")
-    else:
-        raise ValueError("without a limit, walks need a chance to stop")
-    walks = slots.select(number.alias("walk"), F.col("src").alias("id"), F.col("slot").alias("k"), F.col("dst").alias("cur"), F.lit(False).alias("done"))
-    if steps is not None:
-        for i in range(steps):
-            walks = walk_step(walks, slots, i, alpha)
-        return walks.select("id", "k", F.col("cur").alias("end_id"))
-    slots = cut_lineage(slots)
-    ended, i = None, 0
+    if not 0 < alpha <= 1:
+        raise ValueError("walks need a chance to stop")
+    slots = cut_lineage(slots_with_degree(edges))
+    degree = slots.filter("slot = 0").select(F.col("src").alias("at"), "degree")
+    hop = slots.select("src", F.col("slot").cast("long").alias("place"), "dst")
+    open_, ended, step = slots.select(F.col("src").alias("id"), F.col("slot").alias("k"), F.col("src").alias("cur"), "degree"), None, 0
     while True:
-        walks = cut_lineage(walk_step(walks, slots, i, alpha, _hashed))
-        some = walks.filter("done").select("id", "k", F.col("cur").alias("end_id"))
+        moved = open_.withColumn("want", coin(step, "hop") % F.col("degree")).join(hop, (F.col("cur") == F.col("src")) & (F.col("want") == F.col("place"))).select("id", "k", F.col("dst").alias("cur"))
+        stops = coin(step, "stop") < int(alpha * (1 << 32))
+        after = cut_lineage(moved.join(degree, F.col("cur") == F.col("at"), "left").select("id", "k", "cur", "degree", (stops | F.col("degree").isNull()).alias("done")))
+        some = after.filter("done").select("id", "k", F.col("cur").alias("end_id"))
         ended = some if ended is None else ended.unionAll(some)
-        walks, i = walks.filter("not done"), i + 1
-        if walks.isEmpty():
+        open_, step = after.filter("not done").drop("done"), step + 1
+        if open_.isEmpty():
             return ended
 
 
 def cached_walk_estimate(state: DataFrame, cache: DataFrame, alpha: float, budget: float) -> DataFrame:
-    """(id, value) from (id, r, m): a step's closure, then ceil(|rest|) cached walks of each node, each with its signed share of the rest."""
+    """(id, value) from (id, r, m): a step's closure, then ceil(|rest|) cached walks of each node, each with its signed share of the rest.
+
+    Where fewer walks are cached they share it; a node without any keeps it. So
+    values sum to what the state holds.
+    """
     rest = (1 - alpha) * F.col("r")
-    s = state.withColumns({"rest": rest, "walks": F.ceil(F.abs(rest))})
-    have = s.filter("walks > 0").join(cache.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).filter(F.col("k") < F.col("walks"))
-    shares = have.select(F.col("end_id").alias("id"), (F.col("rest") / F.col("walks")).alias("value"))
-    own = s.select("id", (F.col("m") + alpha * F.col("r")).alias("value"))
+    have = cache.groupBy(F.col("id").alias("of")).agg(F.count(F.lit(1)).alias("have"))
+    s = state.join(have, F.col("id") == F.col("of"), "left").drop("of").withColumns({"rest": rest, "walks": F.least(F.ceil(F.abs(rest)), F.coalesce("have", F.lit(0)))})
+    taken = s.filter("walks > 0").join(cache.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).filter(F.col("k") < F.col("walks"))
+    shares = taken.select(F.col("end_id").alias("id"), (F.col("rest") / F.col("walks")).alias("value"))
+    own = s.select("id", (F.col("m") + alpha * F.col("r") + F.when(F.col("walks") == 0, F.col("rest")).otherwise(F.lit(0.0))).alias("value"))
     return own.unionAll(shares).groupBy("id").agg((F.sum("value") / budget).alias("value"))
 
 

@@ -10,7 +10,7 @@ from prowave.operators import features, reuse
 from . import fixtures as fx
 from .registry import query
 
-X, FEW = f"WITH {fx.SQL_VEC}", f"WITH {fx.SQL_FEW}"
+X = f"WITH {fx.SQL_VEC}"
 R = lambda c="value": F.round(c, 6).alias(c)
 
 
@@ -75,9 +75,9 @@ def l1_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(features.l1_distances(fx.vectors(spark, sf_dir), 0, 1), "l1_distance")
 
 
-@query(f"{FEW} SELECT a.feat AS i, b.feat AS j, round(sum(a.value * b.value), 6) AS p FROM x a JOIN x b ON a.id = b.id AND a.feat <= b.feat GROUP BY 1, 2")
+@query(f"{X} SELECT a.feat AS i, b.feat AS j, round(sum(a.value * b.value), 6) AS p FROM x a JOIN x b ON a.id = b.id AND a.feat <= b.feat GROUP BY 1, 2")
 def gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(features.gram(features.to_wide(fx.few_vectors(spark, sf_dir)), 12), "p")
+    return _rounded(features.gram(fx.table(spark, sf_dir, "embeddings"), 64), "p")
 
 
 PAIRS_SQL = """sq AS (SELECT feat, sum(value * value) AS s FROM x GROUP BY feat HAVING sum(value * value) > 0),
@@ -86,9 +86,9 @@ pairs AS (SELECT i, j, round(1 - abs(p / (sqrt(a.s) * sqrt(b.s))), 9) AS dist FR
   JOIN sq a ON a.feat = i JOIN sq b ON b.feat = j)"""
 
 
-@query(f"{FEW}, {PAIRS_SQL} SELECT i, j, round(dist, 6) AS dist FROM pairs")
+@query(f"{X}, {PAIRS_SQL} SELECT i, j, round(dist, 6) AS dist FROM pairs")
 def cosine_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(reuse.cosine_pairs(features.gram(features.to_wide(fx.few_vectors(spark, sf_dir)), 12)), "dist")
+    return _rounded(reuse.cosine_pairs(features.gram(fx.table(spark, sf_dir, "embeddings"), 64)), "dist")
 
 
 @query(f"WITH {fx.SQL_PS} SELECT n.id, coalesce(s_acctbal, 0.0) AS value FROM nodes n LEFT JOIN supplier ON n.id = (SELECT count(*) FROM part) + s_suppkey")
@@ -110,12 +110,12 @@ def split_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.row_blocks(e, fx.count_of(spark, sf_dir, "embeddings"))
 
 
-@query(f"{FEW}, f AS (SELECT feat, round(sum(abs(value)), 6) AS l1 FROM x GROUP BY feat), k AS (SELECT * FROM f ORDER BY l1, feat LIMIT 5) SELECT feat, l1, row_number() OVER (ORDER BY l1 DESC, feat DESC)::INTEGER AS turn FROM k")
+@query(f"{X}, f AS (SELECT feat, round(sum(abs(value)), 6) AS l1 FROM x GROUP BY feat), k AS (SELECT * FROM f ORDER BY l1, feat LIMIT 5) SELECT feat, l1, row_number() OVER (ORDER BY l1 DESC, feat DESC)::INTEGER AS turn FROM k")
 def arg_kmin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _rounded(features.norms(fx.few_vectors(spark, sf_dir)).select("feat", "l1"), "l1")
+    n = _rounded(features.norms(fx.vectors(spark, sf_dir)).select("feat", "l1"), "l1")
     return reuse.arg_kmin(n, "feat", "l1", 5)
 
 
-@query(f"{FEW} SELECT feat, id, row_number() OVER (PARTITION BY id ORDER BY abs(value) DESC, feat)::INTEGER AS turn FROM x")
+@query(f"{X} SELECT feat, id, row_number() OVER (PARTITION BY id ORDER BY abs(value) DESC, feat)::INTEGER AS turn FROM x")
 def abs_decsort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reuse.by_abs_desc(fx.few_vectors(spark, sf_dir), "feat", "value", ["id"]).select("feat", "id", "turn")
+    return reuse.by_abs_desc(fx.vectors(spark, sf_dir), "feat", "value", ["id"]).select("feat", "id", "turn")

@@ -73,15 +73,6 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_VEC = """x AS (SELECT (generate_subscripts(embedding, 1) - 1)::INTEGER AS feat, vec_id AS id, unnest(embedding)::DOUBLE AS value FROM embeddings)"""
 
 
-def few_vectors(spark: SparkSession, sf_dir: str, count: int = 12) -> DataFrame:
-    """The first features only: a feature set of its own, for the operators that compare features."""
-    return vectors(spark, sf_dir).filter(F.col("feat") < count)
-
-
-SQL_FEW = """x AS (
-  SELECT * FROM (SELECT (generate_subscripts(embedding, 1) - 1)::INTEGER AS feat, vec_id AS id, unnest(embedding)::DOUBLE AS value FROM embeddings) WHERE feat < 12)"""
-
-
 def supplier_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, x, y, z): signed seeds on suppliers and parts, scaled to be small."""
     parts = count_of(spark, sf_dir, "part")

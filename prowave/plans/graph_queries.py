@@ -123,17 +123,22 @@ def walk_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walks.walk_step(walks.walk_step(start, slots, 0, 0.2), slots, 1, 0.2)
 
 
-CACHE_SQL = f"{_SLOTS}, w0 AS (SELECT src * 4096 + slot AS walk, dst AS cur, false AS done FROM slots), {_walk_sql('w0', 'w1', 0, 0.2)}, {_walk_sql('w1', 'w2', 1, 0.2)}, {_walk_sql('w2', 'w3', 2, 0.2)}, cache AS (SELECT s.src AS id, s.slot AS k, w.cur AS end_id FROM slots s JOIN w3 w ON s.src * 4096 + s.slot = w.walk)"
+def _coin(step: str, salt: str) -> str:
+    return f"('0x' || substr(md5(id || '|' || k || '|' || ({step}) || '|{salt}'), 1, 8))::BIGINT"
 
 
-@query(f"{WITH_SV}, {CACHE_SQL} SELECT id, k::INTEGER AS k, end_id FROM cache")
-def walk_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cut after three further hops, as its SQL is; ``walk_cache_whole`` has whole walks."""
-    return walks.walk_cache(fx.similar_vectors(spark, sf_dir), 0.2, 3)
+_HOP = "SELECT w.id, w.k, {0} AS step, s.dst AS cur, {1} < {2} AS done FROM {3} w JOIN slots s ON s.src = w.cur AND s.slot = {4} % s.degree"
+_STOP = int(0.2 * (1 << 32))
+
+#: Needs WITH RECURSIVE; every node of this graph has a neighbour.
+CACHE_SQL = f"""{fx.SQL_SV}, {_SLOTS}, start AS (SELECT src AS id, slot AS k, src AS cur FROM slots),
+hops AS ({_HOP.format("0", _coin("0", "stop"), _STOP, "start", _coin("0", "hop"))}
+  UNION ALL {_HOP.format("step + 1", _coin("step + 1", "stop"), _STOP, "hops", _coin("step + 1", "hop"))} WHERE NOT done),
+cache AS (SELECT id, k, cur AS end_id FROM hops WHERE done)"""
 
 
-@query()
-def walk_cache_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"WITH RECURSIVE {CACHE_SQL} SELECT id, k::INTEGER AS k, end_id FROM cache")
+def walk_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Until the coin stops each walk; tests hold the lengths against their distribution."""
     return walks.walk_cache(fx.similar_vectors(spark, sf_dir), 0.2)
 

@@ -156,10 +156,10 @@ def train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(rows.filter("split = 'test'"), best)
 
 
-@query(f"WITH {fx.SQL_FEW} SELECT feat, id, round(value, 6) AS value FROM x")
+@query(f"WITH {fx.SQL_VEC} SELECT feat, id, round(value, 6) AS value FROM x")
 def npy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrix as npy row files and back; ids follow from each file's first id."""
-    wide = features.to_wide(fx.few_vectors(spark, sf_dir)).repartitionByRange(4, "id")
+    wide = features.to_wide(fx.vectors(spark, sf_dir)).repartitionByRange(4, "id")
     rows = files.npy_rows(wide)
 
     def back(batches):

@@ -56,12 +56,12 @@ def ppr_multi_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round9(propagate.fixed_depth(weights, fx.supplier_seed(spark, sf_dir), ["x", "y", "z"], ALPHA, 3), "x", "y", "z")
 
 
-def push_sql(graph_sql: str, start: str, rounds: int, scale: float = 1.0) -> str:
-    """CTEs s0 … s{rounds} of (id, r, m) from a start relation."""
+def push_sql(graph_sql: str, start: str, rounds: int, scale: float = 1.0, scales: tuple[float, ...] = ()) -> str:
+    """CTEs s0 … of (id, r, m) from a start relation: ``rounds`` at ``scale``, or at each of ``scales``; a round without an active node changes nothing."""
     out = f"WITH {graph_sql}, {start}"
-    for k in range(rounds):
-        out += f""", a{k} AS (SELECT s.*, coalesce(degree, 0) AS degree, abs({1 - ALPHA} * r) >= coalesce(degree, 0) * {scale} AND coalesce(degree, 0) > 0 AS hot FROM s{k} s LEFT JOIN d ON s.id = d.id),
-s{k + 1} AS (SELECT id, sum(r) AS r, sum(m) AS m FROM (
+    for k, at in enumerate(s for s in scales or (scale,) for _ in range(rounds)):
+        out += f""", a{k} AS MATERIALIZED (SELECT s.*, coalesce(degree, 0) AS degree, abs({1 - ALPHA} * r) >= coalesce(degree, 0) * {at} AND coalesce(degree, 0) > 0 AS hot FROM s{k} s LEFT JOIN d ON s.id = d.id),
+s{k + 1} AS MATERIALIZED (SELECT id, sum(r) AS r, sum(m) AS m FROM (
   SELECT id, CASE WHEN hot THEN 0 ELSE r END AS r, m + CASE WHEN hot THEN {ALPHA} * r ELSE 0 END AS m FROM a{k}
   UNION ALL SELECT e.dst, {1 - ALPHA} * r / degree, 0 FROM a{k} JOIN e ON e.src = a{k}.id WHERE hot) GROUP BY id)"""
     return out
@@ -72,12 +72,11 @@ START_SQL = f"w AS (SELECT {BUDGET_SQL.format(eps=EPSILON, gamma=1.0)} AS w FROM
 
 def _state(spark: SparkSession, sf_dir: str, rounds: int, scale: float = 1.0):
     e, n = fx.part_supplier(spark, sf_dir)
-    weights, budget = graph.weighted(e), propagate.walk_budget(n, EPSILON)
-    degree = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    state = propagate.start_state(fx.supplier_seed(spark, sf_dir), ["x"], budget)
+    edges, budget = propagate.two_ends(graph.weighted(e)), propagate.walk_budget(n, EPSILON)
+    state = propagate.start_state(edges, fx.supplier_seed(spark, sf_dir), ["x"], budget)
     for _ in range(rounds):
-        state = propagate.push_round(weights, degree, state, ["x"], ALPHA, scale)
-    return state, budget, weights, n
+        state = propagate.push_round(edges, state, ["x"], ALPHA, scale)
+    return state, budget, edges, n
 
 
 def _shares(state: DataFrame, budget: float) -> DataFrame:
@@ -106,11 +105,10 @@ def first_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def push_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds of a subset of nodes only."""
     e, n = fx.part_supplier(spark, sf_dir)
-    weights, budget = graph.weighted(e), propagate.walk_budget(n, EPSILON)
-    degree = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    state = propagate.start_state(fx.supplier_seed(spark, sf_dir), ["x"], budget, spark.range(0, n + 2, 3))
+    edges, budget = propagate.two_ends(graph.weighted(e)), propagate.walk_budget(n, EPSILON)
+    state = propagate.start_state(edges, fx.supplier_seed(spark, sf_dir), ["x"], budget, spark.range(0, n + 2, 3))
     for _ in range(2):
-        state = propagate.push_round(weights, degree, state, ["x"], ALPHA)
+        state = propagate.push_round(edges, state, ["x"], ALPHA)
     return _shares(state, budget)
 
 
@@ -120,10 +118,14 @@ def push_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shares(state, budget)
 
 
-@query(push_sql(fx.SQL_PS, START_SQL, 2, 64.0) + " SELECT id, round(r / (SELECT w FROM w), 9) + 0.0 AS r, round(m / (SELECT w FROM w), 9) + 0.0 AS m FROM s2")
+STAGES = (16, 4, 1)
+
+
+@query(push_sql(fx.SQL_PS, START_SQL, 30, scales=STAGES) + f" SELECT id, round(r / (SELECT w FROM w), 9) + 0.0 AS r, round(m / (SELECT w FROM w), 9) + 0.0 AS m FROM s{30 * len(STAGES)}")
 def push_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state, budget, _, _ = _state(spark, sf_dir, 2, 64.0)
-    return _shares(state, budget)
+    """Down a ladder of thresholds, each until no node is active."""
+    state, budget, edges, _ = _state(spark, sf_dir, 0)
+    return _shares(propagate.push(edges, state, ["x"], ALPHA, list(STAGES)), budget)
 
 
 @query(push_sql(fx.SQL_PS, START_SQL, 2) + f" SELECT id, round((m + {ALPHA} * r) / (SELECT w FROM w), 9) + 0.0 AS x FROM s2")
@@ -138,9 +140,18 @@ def power_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shares(state, budget)
 
 
-@query()
+def _converged_sql() -> str:
+    """The three seed columns pushed as one table of (column, id) nodes."""
+    start = START_SQL.replace("s0 AS (SELECT id, x * (SELECT w FROM w) AS r, 0.0::DOUBLE AS m FROM seed WHERE x <> 0)", "")
+    each = " UNION ALL ".join(f"SELECT id * 3 + {i} AS id, {c} * (SELECT w FROM w) AS r, 0.0::DOUBLE AS m FROM seed WHERE {c} <> 0" for i, c in enumerate("xyz"))
+    copies = fx.SQL_PS.replace("e AS (SELECT p AS src, s AS dst FROM g UNION ALL SELECT s, p FROM g)", "e AS (SELECT src * 3 + c AS src, dst * 3 + c AS dst FROM (SELECT p AS src, s AS dst FROM g UNION ALL SELECT s, p FROM g), (SELECT unnest(range(3)) AS c))")
+    one = lambda i, c: f"coalesce(max(round((m + {ALPHA} * r) / (SELECT w FROM w), 9)) FILTER (WHERE id % 3 = {i}), 0) + 0.0 AS {c}"
+    return push_sql(copies, f"{start} s0 AS ({each})", 60) + f" SELECT id // 3 AS id, {', '.join(one(i, c) for i, c in enumerate('xyz'))} FROM s60 GROUP BY id // 3"
+
+
+@query(_converged_sql())
 def push_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Until no residual reaches its node's degree; tests hold it against the bound."""
+    """Until no residual reaches its node's degree; the SQL unrolls more rounds than are needed, tests hold it against the bound."""
     e, n = fx.part_supplier(spark, sf_dir)
     return round9(propagate.estimate(graph.weighted(e), fx.supplier_seed(spark, sf_dir), ["x", "y", "z"], n, ALPHA, EPSILON), "x", "y", "z")
 
@@ -156,40 +167,31 @@ def sink_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = graph.with_sink(e, graph.node_table(e, n), n)
     c = fx.table(spark, sf_dir, "customer")
     budget = propagate.walk_budget(n, EPSILON)
-    state = propagate.start_state(c.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 10000 / c.count()).alias("x")), ["x"], budget)
-    weights, degree = graph.weighted(e), e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    edges = propagate.two_ends(graph.weighted(e))
+    state = propagate.start_state(edges, c.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 10000 / c.count()).alias("x")), ["x"], budget)
     for _ in range(3):
-        state = propagate.push_round(weights, degree, state, ["x"], ALPHA, 0.0)
+        state = propagate.push_round(edges, state, ["x"], ALPHA, 0.0)
     return round9(propagate.closure(state, ["x"], ALPHA, budget, sink=n), "x")
 
 
 _VEC_START = f"d AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src), w AS (SELECT {BUDGET_SQL.format(eps=16.0, gamma=1.0)} AS w FROM (SELECT count(*) AS n FROM nodes)), s0 AS (SELECT vec_id AS id, embedding[1]::DOUBLE * (SELECT w FROM w) AS r, 0.0::DOUBLE AS m FROM embeddings WHERE embedding[1] <> 0)"
 
 
-@query(push_sql(fx.SQL_SV, _VEC_START, 2) + f""", {CACHE_SQL}, v AS (SELECT id, m, r, {1 - ALPHA} * r AS rest, ceil(abs({1 - ALPHA} * r)) AS walks FROM s2),
-t AS (SELECT id, m + {ALPHA} * r AS value FROM v UNION ALL SELECT end_id, rest / walks FROM v JOIN cache USING (id) WHERE k < walks)
+@query(push_sql(CACHE_SQL, _VEC_START, 2).replace("WITH ", "WITH RECURSIVE ", 1) + f""", have AS (SELECT id, count(*) AS have FROM cache GROUP BY id),
+v AS (SELECT s2.id, m, r, {1 - ALPHA} * r AS rest, least(ceil(abs({1 - ALPHA} * r)), coalesce(have, 0)) AS walks FROM s2 LEFT JOIN have ON s2.id = have.id),
+t AS (SELECT id, m + {ALPHA} * r + CASE WHEN walks = 0 THEN rest ELSE 0 END AS value FROM v UNION ALL SELECT end_id, rest / walks FROM v JOIN cache USING (id) WHERE k < walks)
 SELECT id, round(sum(value) / (SELECT w FROM w), 9) + 0.0 AS value FROM t GROUP BY id""")
 def cached_walk_ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With walks cut after three further hops, as its SQL is; ``cached_walk_ppr_whole`` has whole walks."""
-    return _cached_ppr(spark, sf_dir, 3)
-
-
-@query()
-def cached_walk_ppr_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With walks that go on until the coin stops them."""
-    return _cached_ppr(spark, sf_dir, None)
-
-
-def _cached_ppr(spark: SparkSession, sf_dir: str, steps: int | None) -> DataFrame:
+    """Two rounds, then cached walks that go on until the coin stops them; tests hold it against the exact values."""
     e = fx.similar_vectors(spark, sf_dir)
     vec = fx.table(spark, sf_dir, "embeddings")
     budget = propagate.walk_budget(vec.count(), 16.0)
-    weights, degree = graph.weighted(e), e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    state = propagate.start_state(vec.select(F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("x")), ["x"], budget)
+    edges = propagate.two_ends(graph.weighted(e))
+    state = propagate.start_state(edges, vec.select(F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).cast("double").alias("x")), ["x"], budget)
     for _ in range(2):
-        state = propagate.push_round(weights, degree, state, ["x"], ALPHA)
+        state = propagate.push_round(edges, state, ["x"], ALPHA)
     state = state.select("id", F.col("r_x").alias("r"), F.col("m_x").alias("m"))
-    return round9(walks.cached_walk_estimate(state, walks.walk_cache(e, ALPHA, steps), ALPHA, budget), "value")
+    return round9(walks.cached_walk_estimate(state, walks.walk_cache(e, ALPHA), ALPHA, budget), "value")
 
 
 @query()

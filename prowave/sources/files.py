@@ -126,3 +126,58 @@ def summary(n: int, m: int, features: int, classes: int, sets: DataFrame) -> Dat
     """One row: a line that tells the sizes of a data set and of its splits."""
     c = sets.agg(*[F.sum((F.col("split") == s).cast("long")).alias(s) for s in ("train", "val", "test")])
     return c.select(F.format_string(f"n={n}, m={m}, F={features}, C={classes} | %d/%d/%d (%.2f%%/%.2f%%/%.2f%%)", "train", "val", "test", *[F.col(s) * 100.0 / n for s in ("train", "val", "test")]).alias("summary"))
+
+
+def append_log(spark: SparkSession, path: str, line: str) -> None:
+    """A line more in the run log, a folder of text files in the order of their names."""
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def read_log(spark: SparkSession, path: str) -> list[str]:
+    return [r["value"] for r in spark.read.text(path).select("value", "_metadata.file_modification_time").orderBy("file_modification_time").collect()]
+
+
+class Models:
+    """Models of a run by name ("last", "best") and epoch, as text in one folder."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def save(self, name: str, epoch: int, model) -> None:
+        self.spark.createDataFrame([(epoch, model.dumps())], "epoch int, model string").coalesce(1).write.mode("overwrite").json(f"{self.path}/{name}")
+
+    def load(self, name: str = "best") -> tuple[int, str]:
+        """(epoch, text) for ``SkipMLP.loads``."""
+        row = self.spark.read.schema("epoch int, model string").json(f"{self.path}/{name}").first()
+        return row["epoch"], row["model"]
+
+
+def _save(rows: DataFrame, path: str) -> None:
+    """(name, data) rows as files: Hadoop's file system of ``path`` takes them one by one on the driver, each at most a partition's size."""
+    spark = rows.sparkSession
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    for r in rows.toLocalIterator():
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(folder, r["name"]), True)
+        out.write(bytearray(r["data"]))
+        out.close()
+
+
+def write_edge_binary(edges: DataFrame, path: str) -> None:
+    """Pairs of little-endian unsigned 64-bit numbers, a file for each partition, in order of (src, dst) over all files; ``read_edge_binary`` reads the folder."""
+    ordered = edges.select("src", "dst").repartitionByRange("src", "dst")
+    _save(edge_bytes(ordered).filter(F.length("data") > 0).select(F.format_string("edges-%05d.bin", "part").alias("name"), "data"), path)
+
+
+def write_npy(wide: DataFrame, path: str) -> None:
+    """(id, embedding) rows as npy files of 32-bit floats, each a range of ids, in order of names."""
+    rows = npy_rows(wide.repartitionByRange("id"))
+    _save(rows.select(F.format_string("rows-%019d.npy", "first_id").alias("name"), "data"), path)
+
+
+def write_adjacency_text(edges: DataFrame, n: int, path: str) -> None:
+    """A ``# n`` line in a file that is read first, and ``src dst`` lines."""
+    head = edges.sparkSession.createDataFrame([(f"# {n}",)], "value string")
+    head.coalesce(1).unionAll(edges.select(F.concat_ws(" ", "src", "dst"))).write.mode("overwrite").text(path)

@@ -116,29 +116,41 @@ def test_f1(spark):
 
 
 @pytest.mark.parametrize(("layers", "skip"), [(2, True), (4, True), (4, False)])
+@pytest.mark.parametrize("transform", ["none", "bias", "bn", "biasbn"])
 @pytest.mark.parametrize("multilabel", [False, True])
-def test_model_gradients(layers, skip, multilabel):
+def test_model_gradients(layers, skip, transform, multilabel):
     rng = np.random.default_rng(0)
-    m = model.SkipMLP(5, 5, 3, layers, bias=True, skip=skip)
-    m.biases = [rng.standard_normal(b.shape) for b in m.biases]  # else units of dead rows sit on the kink
+    m = model.SkipMLP(5, 5, 3, layers, transform=transform, skip=skip)
+    for params in (m.biases, m.scales, m.shifts):  # else units of dead rows sit on the kink
+        for b in params:
+            b += 0.3 * rng.standard_normal(b.shape)
     x, y = rng.standard_normal((7, 5)), np.eye(3)[rng.integers(0, 3, 7)]
-    _, gw, gb = m.gradients(x, y, multilabel, None)
-    for k in range(layers):
-        for params, grads in ((m.weights[k], gw[k]), (m.biases[k], gb[k])):
-            at = (0,) * params.ndim
-            params[at] += 1e-6
-            up = m.gradients(x, y, multilabel, None)[0]
-            params[at] -= 2e-6
-            down = m.gradients(x, y, multilabel, None)[0]
-            params[at] += 1e-6
-            assert grads[at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+    _, grads = m.gradients(x, y, multilabel, None)
+    assert len(grads) == len(m.parameters())
+    for params, g in zip(m.parameters(), grads, strict=True):
+        at = (0,) * params.ndim
+        params[at] += 1e-6
+        up = m.gradients(x, y, multilabel, None)[0]
+        params[at] -= 2e-6
+        down = m.gradients(x, y, multilabel, None)[0]
+        params[at] += 1e-6
+        assert g[at] == pytest.approx((up - down) / 2e-6, abs=2e-5)
+    again = model.SkipMLP.loads(m.dumps())
+    assert again.forward(x)[0] == pytest.approx(m.forward(x)[0])
+
+
+def test_unknown_transform_is_an_error():
+    with pytest.raises(ValueError):
+        model.SkipMLP(2, 2, 2, transform="batch")
+    with pytest.raises(ValueError):
+        Config().having({"bias": "batch"})
 
 
 def test_training_learns(spark):
     rng = np.random.default_rng(4)
     y = rng.integers(0, 3, 300)
     x = np.eye(3)[y] + 0.3 * rng.standard_normal((300, 3))
-    best, history = model.train_mlp(x[:200], np.eye(3)[y[:200]], x[200:], np.eye(3)[y[200:]], model.SkipMLP(3, 16, 3, 3, dropout=0.1, bias=True), epochs=30, lr=0.01)
+    best, history = model.train_mlp(x[:200], np.eye(3)[y[:200]], x[200:], np.eye(3)[y[200:]], model.SkipMLP(3, 16, 3, 3, dropout=0.1, transform="biasbn"), epochs=30, lr=0.01)
     assert model.f1(best.forward(x[200:])[0], np.eye(3)[y[200:]]) > 0.9 and history
     df = spark.createDataFrame([(i, x[i].tolist(), np.eye(3, dtype=int)[y[i]].tolist()) for i in range(200, 300)], "id long, embedding array<double>, hot array<int>")
     assert splits.micro_f1(model.predict(df, best)).first()["micro_f1"] > 0.9
@@ -189,10 +201,9 @@ def test_config(tmp_path):
             Config().having(bad)
 
 
-@pytest.mark.parametrize("algo", ["featpush", "featreuse", "featpca"])
-def test_command(spark, tmp_path, algo):
-    from prowave import run
-
+@pytest.fixture
+def three_groups(spark, tmp_path):
+    """Paths of edges, features and labels of 60 nodes of three kinds."""
     rng = np.random.default_rng(6)
     y = np.arange(60) % 3
     x = np.eye(3)[y] @ rng.standard_normal((3, 8)) + 0.2 * rng.standard_normal((60, 8))
@@ -200,6 +211,63 @@ def test_command(spark, tmp_path, algo):
     spark.createDataFrame(edges, "src long, dst long").write.parquet(str(tmp_path / "e"))
     spark.createDataFrame([(i, x[i].tolist()) for i in range(60)], "id long, embedding array<double>").write.parquet(str(tmp_path / "x"))
     spark.createDataFrame([(i, int(y[i])) for i in range(60)], "id long, label int").write.parquet(str(tmp_path / "l"))
-    args = ["--edges", str(tmp_path / "e"), "--features", str(tmp_path / "x"), "--labels", str(tmp_path / "l"), "--out", str(tmp_path / "o"), "--set", f"algo={algo}", "alpha=0.5", "epsilon=4", "hidden=16", "epochs=40", "rrz=0.5", "layer=2"]
+    spark.createDataFrame([(i, [int(y[i] == k) for k in range(3)]) for i in range(60)], "id long, label array<int>").write.parquet(str(tmp_path / "m"))
+    spark.createDataFrame([(i, "train" if i >= 24 else "val" if i < 12 else "test") for i in range(60)], "id long, split string").write.parquet(str(tmp_path / "s"))
+    return tmp_path
+
+
+@pytest.mark.parametrize("algo", ["featpush", "featreuse", "featpca"])
+def test_command(three_groups, algo):
+    from prowave import run
+
+    d = three_groups
+    args = ["--edges", str(d / "e"), "--features", str(d / "x"), "--labels", str(d / "l"), "--out", str(d / "o"), "--set", f"algo={algo}", "alpha=0.5", "epsilon=4", "hidden=16", "epochs=40", "rrz=0.5", "layer=2"]
     assert run.main(["precompute", *args])["path"].endswith(f"{algo}_0/score_0.5_4")
     assert run.main(["train", *args])["test"] > 0.6
+
+
+def test_inductive_multilabel_with_stored_splits(spark, three_groups):
+    """The training nodes' own embeddings are made without the others' edges; stored splits are used as they are."""
+    from prowave import run
+
+    d = three_groups
+    args = ["--edges", str(d / "e"), "--features", str(d / "x"), "--labels", str(d / "m"), "--splits", str(d / "s"), "--out", str(d / "o"), "--seed", "3", "--dev"]
+    args += ["--set", "alpha=0.5", "epsilon=4", "hidden=16", "epochs=15", "layer=3", "bias=biasbn", "multil=true", "inductive=true", "staged=true", "lr=0.02"]
+    run.main(["precompute", *args])
+    own = spark.read.parquet(str(d / "o" / "featpush_train_3" / "score_0.5_4"))
+    assert own.agg(F.min("id"), F.max("id")).first()[:] == (24, 59) and spark.read.parquet(str(d / "o" / "featpush_3" / "score_0.5_4")).agg(F.max("id")).first()[0] == 59
+    assert run.main(["train", *args])["test"] > 0.6
+    epoch, text = files.Models(spark, str(d / "o" / "featpush_3" / "score_0.5_4.models")).load("last")
+    assert epoch == 14 and model.SkipMLP.loads(text).transform == "biasbn"
+    assert [json.loads(x)["what"] for x in files.read_log(spark, str(d / "o" / "log"))] == ["precompute", "train"]
+
+
+def test_split_rules(spark):
+    nodes = spark.createDataFrame([(i, [int(i % 3 == 0), int(i % 5 == 0)]) for i in range(100)], "id long, label array<int>")
+    got = splits.split_by_label(nodes, 10, 20)
+    sizes = {r["split"]: r["count"] for r in got.groupBy("split").count().collect()}
+    assert sizes["val"] == 20 and 14 <= sizes["train"] <= 20 and sum(sizes.values()) == 100
+    assert splits.classes_of(nodes) == 2 and splits.one_hot(nodes, 2).filter("id = 15").first()["hot"] == [1, 1]
+    single = spark.createDataFrame([(i, i % 4) for i in range(100)], "id long, label int")
+    stored = spark.createDataFrame([(i, "train" if i < 40 else "val" if i < 50 else "test") for i in range(80)], "id long, split string")
+    again = splits.split_by_rule(single, "restratify", 0, 0, 1, stored)
+    assert {r["split"]: r["count"] for r in again.groupBy("split").count().collect()} == {"train": 40, "val": 10, "test": 30}
+    train = again.filter("split = 'train'").join(single, "id").groupBy("label").count().collect()
+    assert all(r["count"] == 10 for r in train)
+    assert sorted(map(tuple, splits.split_by_rule(single, "random", 5, 5, 0, stored).collect())) == sorted(map(tuple, stored.collect()))
+
+
+def test_written_files_read_back(spark, tmp_path):
+    pairs = [(i * 7 % 50, i) for i in range(100)]
+    e = spark.createDataFrame(pairs, "src long, dst long").repartition(3)
+    files.write_edge_binary(e, str(tmp_path / "b"))
+    assert sorted(map(tuple, files.read_edge_binary(spark, str(tmp_path / "b")).collect())) == sorted(pairs)
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "b").glob("*.bin")))
+    assert [tuple(x) for x in np.frombuffer(data, "<u8").reshape(-1, 2).tolist()] == sorted(pairs)
+    files.write_adjacency_text(e, 120, str(tmp_path / "t"))
+    assert files.header_count(spark, str(tmp_path / "t")) == 120
+    assert sorted(map(tuple, files.read_edge_text(spark, str(tmp_path / "t")).collect())) == sorted(pairs)
+    x = np.random.default_rng(0).standard_normal((40, 3)).astype(np.float32)
+    wide = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>").repartition(3)
+    files.write_npy(wide, str(tmp_path / "n"))
+    assert np.concatenate([np.load(p) for p in sorted((tmp_path / "n").glob("*.npy"))]) == pytest.approx(x)

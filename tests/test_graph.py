@@ -79,8 +79,8 @@ def random_graph(spark):
 def test_push_meets_its_bound_and_keeps_mass(random_graph):
     edges, w, seeds, x = random_graph
     budget = propagate.walk_budget(60, 0.5)
-    degree = w.select(F.col("src").alias("id"), "degree").distinct()
-    state = propagate.push(w, degree, propagate.start_state(seeds, ["x", "y"], budget), ["x", "y"], 0.2)
+    e = propagate.two_ends(w)
+    state = propagate.push(e, propagate.start_state(e, seeds, ["x", "y"], budget), ["x", "y"], 0.2)
     rows = {r["id"]: r for r in state.collect()}
     deg = np.bincount([s for s, _ in edges], minlength=60)
     assert all(abs(0.8 * rows[i]["r_x"]) < deg[i] for i in rows)
@@ -112,6 +112,8 @@ def test_walks_stay_on_edges_and_repeat(spark, random_graph):
     edges, _, _, _ = random_graph
     e = spark.createDataFrame(edges, "src long, dst long")
     cache = walks.walk_cache(e, 0.3)
+    with pytest.raises(ValueError):
+        walks.walk_cache(e, 0.0)
     one = sorted(map(tuple, cache.collect()))
     assert one == sorted(map(tuple, walks.walk_cache(e.repartition(7), 0.3).collect()))
     assert len(one) == len(edges)
@@ -135,3 +137,62 @@ def test_empty_graph(spark):
     assert graph.node_table(e).count() == 0
     assert graph.symmetrize(e).count() == 0
     assert graph.degrees(e, spark.range(3).select("id")).agg(F.sum("out_degree")).first()[0] == 0
+
+
+@pytest.mark.parametrize("scales", [[1], [16, 4, 1]])
+def test_stages_meet_the_same_bound(random_graph, scales):
+    edges, w, seeds, x = random_graph
+    budget = propagate.walk_budget(60, 0.5)
+    e = propagate.two_ends(w)
+    state = propagate.push(e, propagate.start_state(e, seeds, ["x"], budget), ["x"], 0.2, scales)
+    exact, deg = dense(60, edges, x[:, 0], 0.2), np.bincount([s for s, _ in edges], minlength=60)
+    got = {r["id"]: r["x"] for r in propagate.closure(state, ["x"], 0.2, budget).collect()}
+    assert all(abs(got.get(i, 0) - exact[i]) <= deg[i] / budget for i in range(60))
+
+
+def test_a_push_reads_its_edges_once(spark, random_graph):
+    """Later rounds scan what is kept."""
+    edges, _, seeds, _ = random_graph
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    e = propagate.two_ends(graph.weighted(spark.createDataFrame(edges, "src long, dst long"))).coalesce(1)
+    e = e.mapInArrow(count, e.schema)
+    state = propagate.start_state(e, seeds, ["x"], propagate.walk_budget(60, 0.5))
+    before = reads.value
+    propagate.push(e, state, ["x"], 0.2)
+    assert reads.value - before <= 2 * len(edges)  # for the start's degrees and for the rounds
+
+
+@pytest.mark.parametrize("hub", [1 << 20, 3])
+def test_places_of_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB", hub)
+    monkeypatch.setattr(graph, "BLOCK", 4)
+    edges = [(0, i) for i in range(1, 40)] + [(i, 0) for i in range(1, 40, 2)] + [(50, 51)]
+    e = spark.createDataFrame(edges, "src long, dst long").repartition(3)
+    slots = {(r["src"], r["dst"]): r["slot"] for r in graph.adjacency_slots(e).collect()}
+    assert slots == {(0, i): i - 1 for i in range(1, 40)} | {(i, 0): 0 for i in range(1, 40, 2)} | {(50, 51): 0}
+    turns = {(r["src"], r["dst"]): r["turn"] for r in graph.reverse_index(e).collect()}
+    assert turns == {(0, i): 0 for i in range(1, 40)} | {(i, 0): (i - 1) // 2 for i in range(1, 40, 2)} | {(50, 51): 0}
+
+
+def test_cached_walks_give_what_the_state_holds(spark, random_graph):
+    """Shares sum to the rest whatever walks there are; many walks come near the exact values."""
+    edges, w, seeds, x = random_graph
+    e = propagate.two_ends(w)
+    budget = 20 * propagate.walk_budget(60, 0.5)
+    state = propagate.start_state(e, seeds, ["x"], budget)
+    for _ in range(2):
+        state = propagate.push_round(e, state, ["x"], 0.3)
+    held = state.select("id", F.col("r_x").alias("r"), F.col("m_x").alias("m")).cache()
+    cache = walks.walk_cache(spark.createDataFrame(edges, "src long, dst long"), 0.3)
+    got = {r["id"]: r["value"] for r in walks.cached_walk_estimate(held, cache, 0.3, budget).collect()}
+    assert sum(got.values()) == pytest.approx(x[:, 0].sum(), abs=1e-9)
+    exact = dense(60, edges, x[:, 0], 0.3)
+    assert np.abs([got.get(i, 0) - exact[i] for i in range(60)]).max() <= 0.25 * np.abs(exact).max()
+    none = walks.cached_walk_estimate(held, cache.limit(0), 0.3, budget).agg(F.sum("value")).first()[0]
+    assert none == pytest.approx(x[:, 0].sum(), abs=1e-9)
