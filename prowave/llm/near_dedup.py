@@ -204,7 +204,11 @@ def _agree(a: str, b: str) -> Column:
 def _sized(df: DataFrame) -> DataFrame:
     """``df``, written, in as many parts as its rows call for, not as the texts do."""
     df = cut_lineage(df)
-    return df.coalesce(max(4, -(-df.count() // ROWS_PER_TASK)))
+    return df.coalesce(_parts(df))
+
+
+def _parts(df: DataFrame) -> int:
+    return max(4, -(-df.count() // ROWS_PER_TASK))
 
 
 def _side(df: DataFrame, of: str, *more: str) -> DataFrame:
@@ -368,22 +372,34 @@ def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of each linked node; the label is the component's smallest node.
 
-    Each round takes the smallest label next door and then that label's own
-    one, so a chain is halved, until nothing changes. The tables are dealt to
-    as many tasks as their rows call for, not to as many as the texts do.
+    A round points each node at the smallest one next door and follows the
+    pointers to their ends, doubling the step, so a chain takes as many steps as
+    its length has binary digits. Links then join ends, and those inside one go,
+    until none is left. At least half of the nodes go each round, and a star's in
+    one. The tables are in as many parts as their rows call for.
     """
-    both = cut_lineage(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    parts = max(4, -(-both.count() // ROWS_PER_TASK))
-    both = both.coalesce(parts)
-    labels = cut_lineage(both.groupBy("u").agg(F.min("v").alias("near")).select(F.col("u").alias("node"), F.least("u", "near").alias("label")).coalesce(parts))
+    edges = cut_lineage(links.select("u", "v").filter("u != v").distinct())
+    parts, levels = _parts(edges), []
+    edges = edges.coalesce(parts)
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").coalesce(parts).groupBy("u").agg(F.min("label").alias("near")).coalesce(parts)
-        moved = labels.join(near, F.col("node") == F.col("u")).select("node", F.least("label", "near").alias("next"), "label")
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        after = cut_lineage(moved.join(jump, F.col("next") == F.col("at")).select("node", F.least("next", "further").alias("next"), "label").coalesce(parts))
-        labels = after.select("node", F.col("next").alias("label"))
-        if after.filter(F.col("next") != F.col("label")).isEmpty():
-            return labels
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        level = cut_lineage(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")).coalesce(parts))
+        while True:
+            jump = level.select(F.col("node").alias("at"), F.col("label").alias("further"))
+            moved = cut_lineage(level.join(jump, F.col("label") == F.col("at")).select("node", "label", "further").coalesce(parts))
+            level = moved.select("node", F.col("further").alias("label"))
+            if moved.filter("label != further").isEmpty():
+                break
+        levels.append(level)
+        end = lambda c, level=level: level.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        further = edges.join(end("u"), "u").join(end("v"), "v").filter("u_label != v_label")
+        edges = cut_lineage(further.select(F.least("u_label", "v_label").alias("u"), F.greatest("u_label", "v_label").alias("v")).distinct().coalesce(parts))
+        if edges.isEmpty():
+            break
+    out = levels[-1]
+    for level in levels[-2::-1]:
+        out = level.join(out.select(F.col("node").alias("of"), F.col("label").alias("top")), F.col("label") == F.col("of"), "left").select("node", F.coalesce("top", "label").alias("label"))
+    return cut_lineage(out.coalesce(parts)) if len(levels) > 1 else out
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
