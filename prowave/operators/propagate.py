@@ -140,5 +140,6 @@ def estimate(weights: DataFrame, seeds: DataFrame, columns: list[str], n: int, a
     gammas = gamma if isinstance(gamma, dict) else dict.fromkeys(columns, gamma)
     budget = {c: walk_budget(n, epsilon, gammas[c]) for c in columns}
     edges = two_ends(weights)
+    seeds = cut_lineage(seeds.select("id", *columns))  # else a filter on many columns made from one array is copied for each of them, over and over
     scales = [*stage_ladder(n, max(budget.values())), 1] if staged else [1]
     return closure(push(edges, start_state(edges, seeds, columns, budget), columns, alpha, scales), columns, alpha, budget)
