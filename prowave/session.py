@@ -19,6 +19,7 @@ def build_session(cores: int | str = "*", app: str = "prowave", partitions: int
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -27,12 +28,18 @@ def build_session(cores: int | str = "*", app: str = "prowave", partitions: int
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for reliable checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where neither that
-    setting nor an earlier call set one (tests) is a temporary folder used.
+    A cluster names it in ``spark.checkpoint.dir``. A local master (tests, the
+    bench) may do without: all its tasks see a temporary folder. Elsewhere a
+    missing setting is an error. With
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes
+    checkpoints that are no longer in use.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="prowave-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="prowave-"))
     return sc.getCheckpointDir()
 
 

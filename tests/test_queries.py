@@ -39,3 +39,23 @@ def test_names():
 def test_classifier_gives_one_guess_a_row(spark, data):
     rows = registry.QUERIES["train_predict"](spark, data).collect()
     assert rows and all(sum(r["guess"]) == 1 and r["guess"][r["label_guess"]] == 1 for r in rows)
+
+
+def test_checkpoints_need_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from prowave import session
+
+    class Context:
+        master, at = "spark://host:7077", None
+
+        def getCheckpointDir(self):  # noqa: N802
+            return self.at
+
+        def setCheckpointDir(self, path):  # noqa: N802
+            self.at = path
+
+    sc = Context()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(SimpleNamespace(sparkContext=sc, conf={}))
+    assert session.checkpoint_dir(SimpleNamespace(sparkContext=sc, conf={"spark.checkpoint.dir": "s3a://shared"})) == "s3a://shared"
