@@ -62,13 +62,13 @@ def make_block(items: list[tuple[str, str]], window: int = WINDOW) -> Block:
 
 
 def blocks_of(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WINDOWS) -> Iterator[Block]:
-    """Blocks of up to ``most`` windows (one longer item makes a block of its own); nulls have no words, a null id is named ''."""
+    """Blocks of up to ``most`` windows by an upper bound, half the characters (one longer item makes a block of its own); nulls have no words, a null id is named ''."""
     held: list[tuple[str, str]] = []
     windows = 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))
     for name, text in rows.toLocalIterator():
         n = len(text) // 2 + 1
-        if held and windows + n > most * 4:
+        if held and windows + n > most:
             yield make_block(held, window)
             held, windows = [], 0
         held.append((name, text))

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from prowave.session import cut_lineage, written
 
@@ -201,14 +201,17 @@ def _agree(a: str, b: str) -> Column:
     return same
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """``df``, written, in as many parts as its rows call for, not as the texts do."""
-    df = cut_lineage(df)
-    return df.coalesce(_parts(df))
+def _counted(df: DataFrame, of: Column | None = None) -> tuple[DataFrame, int]:
+    """``df``, written, and how many of its rows meet ``of`` (all without it), counted in the same job."""
+    seen = Observation()
+    df = cut_lineage(df.observe(seen, F.count(F.lit(1) if of is None else F.when(of, 1)).alias("n")))
+    return df, seen.get["n"]
 
 
-def _parts(df: DataFrame) -> int:
-    return max(4, -(-df.count() // ROWS_PER_TASK))
+def _sized(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df``, written, in as many parts as its rows call for, not as the texts do, and that number of parts; 0 for an empty table."""
+    df, n = _counted(df)
+    return df.coalesce(max(4, -(-n // ROWS_PER_TASK))), n and max(4, -(-n // ROWS_PER_TASK))
 
 
 def _side(df: DataFrame, of: str, *more: str) -> DataFrame:
@@ -264,7 +267,7 @@ def _dealt(rest: DataFrame) -> DataFrame:
     heads = rest.groupBy("key").agg(F.min("node").alias("u")).select(F.bitwise_not("key").alias("turned"), "u")
     ties = rest.join(heads, F.bitwise_not("key") == F.col("turned")).filter(F.col("u") != F.col("node")).select("u", F.col("node").alias("v"))
     family = components(ties).select(F.col("node").alias("of"), F.col("label").alias("family"))
-    rows = _sized(rest.select("node", "n", "label").distinct().join(family, F.col("node") == F.col("of")).drop("of"))
+    rows, _ = _sized(rest.select("node", "n", "label").distinct().join(family, F.col("node") == F.col("of")).drop("of"))
     by = rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
     by = by.groupBy("family").agg(F.max(F.struct("c", "label", "w")).alias("most"), F.sum("c").alias("c"), F.sum("w").alias("w"))
     parts = lambda c, w: F.greatest(F.lit(1), F.ceil(c / BLOCK), F.ceil(w / BLOCK_WORDS))
@@ -378,28 +381,26 @@ def components(links: DataFrame) -> DataFrame:
     until none is left. At least half of the nodes go each round, and a star's in
     one. The tables are in as many parts as their rows call for.
     """
-    edges = cut_lineage(links.select("u", "v").filter("u != v").distinct())
-    parts, levels = _parts(edges), []
-    edges = edges.coalesce(parts)
-    while True:
+    edges, parts = _sized(links.select("u", "v").filter("u != v").distinct())
+    if not parts:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    levels = []
+    while parts:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         level = cut_lineage(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")).coalesce(parts))
-        while True:
+        moving = 1
+        while moving:
             jump = level.select(F.col("node").alias("at"), F.col("label").alias("further"))
-            moved = cut_lineage(level.join(jump, F.col("label") == F.col("at")).select("node", "label", "further").coalesce(parts))
+            moved, moving = _counted(level.join(jump, F.col("label") == F.col("at")).select("node", "label", "further").coalesce(parts), F.col("label") != F.col("further"))
             level = moved.select("node", F.col("further").alias("label"))
-            if moved.filter("label != further").isEmpty():
-                break
         levels.append(level)
         end = lambda c, level=level: level.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
         further = edges.join(end("u"), "u").join(end("v"), "v").filter("u_label != v_label")
-        edges = cut_lineage(further.select(F.least("u_label", "v_label").alias("u"), F.greatest("u_label", "v_label").alias("v")).distinct().coalesce(parts))
-        if edges.isEmpty():
-            break
+        edges, parts = _sized(further.select(F.least("u_label", "v_label").alias("u"), F.greatest("u_label", "v_label").alias("v")).distinct().coalesce(parts))
     out = levels[-1]
     for level in levels[-2::-1]:
         out = level.join(out.select(F.col("node").alias("of"), F.col("label").alias("top")), F.col("label") == F.col("of"), "left").select("node", F.coalesce("top", "label").alias("label"))
-    return cut_lineage(out.coalesce(parts)) if len(levels) > 1 else out
+    return cut_lineage(out) if len(levels) > 1 else out
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -415,18 +416,18 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     minima = ", ".join(f"{m} long" for m in MINIMA)
     sketches = cut_lineage(rows.select("_id", "_of", "text").mapInArrow(_sketch, f"_id long, _of long, s1 long, s2 long, n long, bands array<long>, {minima}"))
     least_one = F.min(F.struct("_id", "_of")).alias("node")
-    nodes = cut_lineage(sketches.groupBy("s1", "s2").agg(least_one, F.first("n").alias("n"), F.first("bands").alias("bands"), *[F.first(m).alias(m) for m in MINIMA]))
+    nodes, _ = _sized(sketches.groupBy("s1", "s2").agg(least_one, F.first("n").alias("n"), F.first("bands").alias("bands"), *[F.first(m).alias(m) for m in MINIMA]))
     # Only buckets of two or more nodes matter from here on, and only the texts of nodes in one.
     spread = nodes.select("node", "n", *MINIMA, F.explode("bands").alias("key"))
     several = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.bitwise_not("key").alias("turned"))
-    shared = _sized(spread.join(several, F.bitwise_not("key") == F.col("turned"), "left_semi").groupBy("node", "n", *MINIMA).agg(F.collect_list("key").alias("keys")))
+    shared, _ = _sized(spread.join(several, F.bitwise_not("key") == F.col("turned"), "left_semi").groupBy("node", "n", *MINIMA).agg(F.collect_list("key").alias("keys")))
     wanted = shared.select("node._id", "node._of")
     texts, forget = written(rows.select("_id", "_of", "text").join(wanted, ["_id", "_of"], "left_semi").dropDuplicates(["_id", "_of"]).select(F.struct("_id", "_of").alias("node"), "text"), "near-texts")
-    links = cut_lineage(_links(_with_heads(shared), texts, least))
+    links, _ = _sized(_links(_with_heads(shared), texts, least))
     labels = components(links)
     known = shared.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "n", "keys", *MINIMA, F.coalesce("label", "node").alias("label"))
-    rest = _sized(_open(_twice(known)))
-    if not rest.isEmpty():
+    rest, some = _sized(_open(_twice(known)))
+    if some:
         tiles = _dealt(rest).join(texts.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("tile", "side", "label", "text")
         more = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare(least), links.schema)
         tops = components(more).select(F.col("node").alias("of"), F.col("label").alias("top"))

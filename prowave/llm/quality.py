@@ -186,7 +186,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    """Train on at most ``most`` labelled documents outside the held-out fold. Labels that aren't 0 or 1 don't count; of several for one id, the most frequent does."""
+    """Train on at most ``most`` labelled documents outside the held-out fold. Labels that aren't 0 or 1 don't count; of several for one id, the most frequent does, 1 on a tie."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)").filter(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("quality")).withColumn("turn", F.xxhash64(F.lit("quality"), "doc_id")).orderBy("turn", "doc_id").limit(most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -206,7 +206,8 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), with_text: bool = False, most: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted, row[, text]) of each document; ``row`` holds the columns named by ``keep``.
 
-    Null texts are scored like ''. Equal texts have equal scores; rows repeat. Without
+    Null texts are scored like ''. Equal texts have equal scores; rows repeat; a
+    text of any length is scored whole, one too long for a slice by itself. Without
     labels of both kinds every score is the one label there is, or 0.5.
     """
     model = fit(docs, labels, most)

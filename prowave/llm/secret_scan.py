@@ -165,7 +165,7 @@ def labelled_findings(words: list[str], n: int = FINDINGS, seed: int = 5) -> lis
                 lambda: (some(hexa, pick([32, 40, 64])), pick([f"{pick(plain)} ", f"{pick(plain)}: ", "/blob/", "/commit/", f'{pick(plain)} = "', f"{pick(words)} {pick(plain)} "]), " "),
                 lambda: ("/".join([pick(words) for _ in range(4)]) + "/" + some(digits, 3), pick(["/", "./", "see "]), " "),
                 lambda: ("_".join([pick(words) for _ in range(3)]) + some(digits, rng.integers(1, 4)), pick(["", f'{pick(secret)} = "', "= "]), " "),
-                lambda: (pick("x0*1a".replace("*", "")) * int(rng.integers(16, 40)) + pick(["", "1"]), f'{pick(secret)} = "', '"'),
+                lambda: (pick("x01a") * int(rng.integers(16, 40)) + pick(["", "1"]), f'{pick(secret)} = "', '"'),
                 lambda: (pick(["your", "my", "example", "changeme", "insert", "dummy"]) + "-" + pick(secret) + "-here-" + some(digits, 2) + "-" + pick(words), f'{pick(secret)} = "', '"'),
                 lambda: ("".join(pick(words) for _ in range(5)) + pick(["1", "2", "42"]), pick([f"{pick(words)} ", f'{pick(secret)} = "']), " "),
                 lambda: ("20" + some(digits, 6) + "T" + some(digits, 6) + pick(["Z", "-0000"]) + pick(words), f"{pick(words)} ", " "),
@@ -233,7 +233,9 @@ def scan(docs: DataFrame, path_col: str = "source", threshold: float = THRESHOLD
     """(doc_id, start, end, candidate, score, secret): a row for each candidate, offsets in code points.
 
     Null and empty texts have none; a null path counts as ''; repeated documents
-    repeat their findings; ids pass as they are, null ones too.
+    repeat their findings; ids pass as they are, null ones too; a text of any
+    length is read whole. Tokens of under LEAST characters, and ones broken by
+    other marks, are no candidates.
     """
     c = corpus_of(docs)
     forest = fit(c, findings)
