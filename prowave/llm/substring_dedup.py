@@ -17,9 +17,9 @@ document and earlier start). Windows are judged on the input.
    half the corpus is no task of its own.
 3. Neighbouring removed windows merge to maximal repeats, and texts are cut.
 
-A document is its id and the 64-bit hash of its text. Equality of windows is
-that of 64-bit hashes within one anchor (also 64 bits); texts move twice by
-document, by the same exchange.
+A document is known by a 64-bit hash of its id and whole text. Equality of
+windows is that of 64-bit hashes within one anchor (also 64 bits); texts move
+twice by document, by the same exchange.
 """
 
 from __future__ import annotations
@@ -59,23 +59,21 @@ def _anchors_of(words: tk.Words, length: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows keyed by id and text: rows of one id with other texts are versions of it in the order of their texts' hashes; equal rows are alike. Null ids come first."""
+    """Rows keyed by id and text: rows of one id with other texts are versions of it in the order of their hashes; equal rows are alike. Null ids come first."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("_id"), F.xxhash64(text).alias("_of"),
-        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
-    )
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    return docs.select(own.alias("_id"), F.xxhash64(own, text).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
 def _seeds(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, of = b.column("_id").to_numpy(), b.column("_of").to_numpy()
+            of = b.column("_row").to_numpy()
             for lo, _, words in tk.each_slice(b.column("text"), tk.SPACE_WORDS):
                 _, _, anchor, seeds = _anchors_of(words, length)
                 at = anchor[np.flatnonzero(np.diff(anchor, prepend=-1))]
                 row = words.doc[at]
-                yield pa.RecordBatch.from_arrays([pa.array(seeds[at].view(np.int64)), pa.array(ids[lo + row]), pa.array(of[lo + row]), pa.array((at - words.first[row]).astype(np.int32))], names=["a", "_id", "_of", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(seeds[at].view(np.int64)), pa.array(of[lo + row]), pa.array((at - words.first[row]).astype(np.int32))], names=["a", "_row", "at"])
 
     return run
 
@@ -87,11 +85,11 @@ def _flat(col: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(length: int):
-    """Rows (key, _id, _of, at, hashes, mask, hot): the windows from word ``at`` on around a repeated anchor; ``mask`` marks those known to be repeated."""
+    """Rows (key, _id, _row, at, hashes, mask, hot): the windows from word ``at`` on around a repeated anchor; ``mask`` marks those known to be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, of, seen = b.column("_id").to_numpy(), b.column("_of").to_numpy(), b.column("seen")
+            ids, of, seen = b.column("_id").to_numpy(), b.column("_row").to_numpy(), b.column("seen")
             values = seen.values.to_numpy()
             for lo, hi, words in tk.each_slice(b.column("text"), tk.SPACE_WORDS):
                 h, starts, anchor, seeds = _anchors_of(words, length)
@@ -115,7 +113,7 @@ def _rows(key, ids, of, place, hashes: np.ndarray, sizes: np.ndarray, mask: int,
     off = np.concatenate([[0], np.cumsum(sizes) * 8]).astype(np.int32)
     col = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(hashes))])
     n = len(key)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(of), pa.array(place), col, pa.array(np.full(n, mask, np.int32)), pa.array(np.full(n, hot))], names=["key", "_id", "_of", "at", "hashes", "mask", "hot"])
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(of), pa.array(place), col, pa.array(np.full(n, mask, np.int32)), pa.array(np.full(n, hot))], names=["key", "_id", "_row", "at", "hashes", "mask", "hot"])
 
 
 def _grouped(ids, of, place, whole, seed, anchor, hot) -> Iterator[pa.RecordBatch]:
@@ -130,7 +128,7 @@ def _grouped(ids, of, place, whole, seed, anchor, hot) -> Iterator[pa.RecordBatc
         new = np.flatnonzero(np.diff(whole[order], prepend=whole[order[0]] + np.uint64(1)))
         lead = order[np.repeat(new, np.diff(np.append(new, len(order))))]
         first = (ids[order] == ids[lead]) & (of[order] == of[lead]) & (place[order] == place[lead])  # equal rows are alike
-        own = lambda part: tk.mix(tk.mix(ids[part].view(np.uint64)) + of[part].view(np.uint64))
+        own = lambda part: tk.mix(of[part].view(np.uint64))
         part = np.sort(order[first])
         yield _rows(tk.mix(whole[part] + own(part) % np.uint64(SALTS)), ids[part], of[part], place[part], whole[part], np.ones(len(part), int), 0, True)
         part = np.sort(order[~first])
@@ -139,7 +137,7 @@ def _grouped(ids, of, place, whole, seed, anchor, hot) -> Iterator[pa.RecordBatc
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, _id, _of, at): (_id, _of, at, mask, whole) with a bit for each window that an earlier row of its key has.
+    """From rows sorted by (key, _id, _row, at): (_id, _row, at, mask, whole) with a bit for each window that an earlier row of its key has.
 
     Of hot windows the first one of a key comes too, with its hash as ``whole`` and no bit.
     """
@@ -148,7 +146,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         # Rows of equal documents stand next to each other and count once.
-        own = [b.column(c).to_numpy() for c in ("key", "_id", "_of", "at")]
+        own = [b.column(c).to_numpy() for c in ("key", "_id", "_row", "at")]
         fresh = np.ones(b.num_rows, bool)
         fresh[1:] = np.any([c[1:] != c[:-1] for c in own], axis=0)
         fresh[0] = before != tuple(c[0] for c in own)
@@ -180,32 +178,31 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.flatnonzero((mask > 0) | lead)
         whole = np.zeros(len(key), np.uint64)
         whole[row] = flat  # a hot row has one window
-        take = [b.column(c).take(pa.array(out)) for c in ("_id", "_of", "at")]
-        yield pa.RecordBatch.from_arrays([*take, pa.array(mask[out].astype(np.int32)), pa.array(whole[out].view(np.int64), mask=~lead[out])], names=["_id", "_of", "at", "mask", "whole"])
+        take = [b.column(c).take(pa.array(out)) for c in ("_id", "_row", "at")]
+        yield pa.RecordBatch.from_arrays([*take, pa.array(mask[out].astype(np.int32)), pa.array(whole[out].view(np.int64), mask=~lead[out])], names=["_id", "_row", "at", "mask", "whole"])
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(_id, _of, gone) of each document with repeated windows: ``gone`` lists (place << 16 | mask), a bit for each window from that word on."""
-    rows = _keyed(docs).select("_id", "_of", "text")
-    seeds = rows.mapInArrow(_seeds(length), "a long, _id long, _of long, at int")
+    """(_row, gone) of each document with repeated windows: ``gone`` lists (place << 16 | mask), a bit for each window from that word on."""
+    seeds = _keyed(docs).select("_row", "text").mapInArrow(_seeds(length), "a long, _row long, at int")
     # The bits of the second key are turned so that both sides are exchanged for the join, which lets Spark split a frequent anchor.
     often = seeds.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.bitwise_not("a").alias("turned"), (F.col("n") >= HOT).alias("hot"))
     hits = seeds.join(often, F.bitwise_not("a") == F.col("turned"))
     place = F.col("at").cast("long")
-    marks = hits.groupBy("_id", "_of").agg(F.collect_list(place * 2 + F.col("hot").cast("long")).alias("seen"))
-    found = _placed(docs).join(marks, ["_id", "_of"]).select("_id", "_of", "doc_id", "text", "seen").mapInArrow(_windows(length), "key long, _id long, _of long, at int, hashes binary, mask int, hot boolean")
-    later = cut_lineage(found.repartition("key").sortWithinPartitions("key", "_id", "_of", "at").mapInArrow(_later, "_id long, _of long, at int, mask int, whole long"))
+    marks = hits.groupBy("_row").agg(F.collect_list(place * 2 + F.col("hot").cast("long")).alias("seen"))
+    found = _placed(docs).join(marks, "_row").select("_id", "_row", "doc_id", "text", "seen").mapInArrow(_windows(length), "key long, _id long, _row long, at int, hashes binary, mask int, hot boolean")
+    later = cut_lineage(found.repartition("key").sortWithinPartitions("key", "_id", "_row", "at").mapInArrow(_later, "_id long, _row long, at int, mask int, whole long"))
     # At most SALTS first ones of each hot window are left: all but the first of them are repeats too.
-    heads = later.filter("whole is not null").select("whole", F.struct("_id", "_of", "at").alias("own"))
+    heads = later.filter("whole is not null").select("whole", F.struct("_id", "_row", "at").alias("own"))
     least = heads.groupBy("whole").agg(F.min("own").alias("least"))
-    again = heads.join(least, "whole").filter(F.col("own") != F.col("least")).select("own.*", F.lit(1).alias("mask"))
-    every = later.filter("mask > 0").select("_id", "_of", "at", "mask").unionByName(again)
-    return every.groupBy("_id", "_of").agg(F.collect_list(place * 65536 + F.col("mask")).alias("gone"))
+    again = heads.join(least, "whole").filter(F.col("own") != F.col("least")).select("own._row", "own.at", F.lit(1).alias("mask"))
+    every = later.filter("mask > 0").select("_row", "at", "mask").unionByName(again)
+    return every.groupBy("_row").agg(F.collect_list(place * 65536 + F.col("mask")).alias("gone"))
 
 
 def _placed(docs: DataFrame) -> DataFrame:
     """Texts dealt out by row key: the same exchange in both joins, so Spark makes it once."""
-    return _keyed(docs).repartition("_id", "_of")
+    return _keyed(docs).repartition("_row")
 
 
 def _cut(length: int, with_text: bool):
@@ -261,7 +258,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> Data
     """
     if length - SEED + 1 > 16 or length < SEED:
         raise ValueError("length must be from SEED to SEED + 15")
-    joined = _placed(docs).join(repeats(docs, length), ["_id", "_of"], "left").select("doc_id", "text", F.coalesce("gone", F.array().cast("array<long>")).alias("gone"))
+    joined = _placed(docs).join(repeats(docs, length), "_row", "left").select("doc_id", "text", F.coalesce("gone", F.array().cast("array<long>")).alias("gone"))
     return joined.mapInArrow(_cut(length, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
 
 

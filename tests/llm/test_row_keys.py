@@ -26,7 +26,7 @@ def test_thousands_of_null_ids(spark, monkeypatch, hot):
         rows.append((None if i % 3 else 5, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup.dedup(docs).collect())
-    order = sorted({(-1 if r["doc_id"] is None else r["doc_id"], r["h"], r["text"]) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()})
+    order = sorted({(-1 if r["doc_id"] is None else r["doc_id"], r["h"], r["text"]) for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")), "text").alias("h")).collect()})
     seen, want = {}, Counter()
     for n, (i, _, t) in enumerate(order):
         w = t.split()
