@@ -44,6 +44,8 @@ BLOCK = 256
 BLOCK_WORDS = 1 << 17
 VOCABULARY = 1 << 13
 ROWS_PER_TASK = 100_000
+#: Up to so many links (32 bytes each) are joined by one task; beyond, by rounds of joins, with the same result.
+LINKS_PER_TASK = 1 << 20
 
 #: ORDER * BANDS minima, four bits each, fifteen a number.
 MINIMA = tuple(f"m{i}" for i in range(ORDER * BANDS // 15))
@@ -372,18 +374,42 @@ def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(_verify(least), pairs.select("u", "v").schema)
 
 
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of all nodes of the links (u, v) of one task."""
+    ends = [np.stack([b.column(c).field(i).to_numpy() for i in (0, 1)], 1) for c in ("u", "v") for b in batches] if (batches := list(batches)) else []
+    if not ends or not sum(map(len, ends)):
+        return
+    every = np.concatenate(ends)
+    nodes, at = np.unique(every, axis=0, return_inverse=True)
+    u, v = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[u], label[v])
+        now = label.copy()
+        for x in (u, v, label[u], label[v]):
+            np.minimum.at(now, x, least)
+        now = now[now]
+        if (now == label).all():
+            break
+        label = now
+    of = lambda a: pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(a[:, i])) for i in (0, 1)], names=["_id", "_of"])
+    yield pa.RecordBatch.from_arrays([of(nodes), of(nodes[label])], names=["node", "label"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of each linked node; the label is the component's smallest node.
 
-    A round points each node at the smallest one next door and follows the
+    Up to LINKS_PER_TASK links are joined by one task. Beyond, a round points each node at the smallest one next door and follows the
     pointers to their ends, doubling the step, so a chain takes as many steps as
     its length has binary digits. Links then join ends, and those inside one go,
     until none is left. At least half of the nodes go each round, and a star's in
     one. The tables are in as many parts as their rows call for.
     """
-    edges, parts = _sized(links.select("u", "v").filter("u != v").distinct())
-    if not parts:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    edges, n = _counted(links.select("u", "v").filter("u != v"))
+    if n <= LINKS_PER_TASK:
+        kind = links.schema["u"].dataType.simpleString()
+        return cut_lineage(edges.coalesce(1).mapInArrow(joined, f"node {kind}, label {kind}"))
+    edges, parts = _sized(edges.distinct())
     levels = []
     while parts:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -114,7 +114,9 @@ def test_near_dedup(spark, corpus, monkeypatch, block):
     assert sorted((r["doc_id"], r["class_id"], r["keep"]) for r in alone) == [(1, 1, True), (2, 2, True)]
 
 
-def test_chains_and_hubs_are_one_component(spark):
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_chains_and_hubs_are_one_component(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dedup, "LINKS_PER_TASK", most)
     node = lambda i: (i, 0)
     pairs = [(node(i), node(i + 1)) for i in range(40)] + [(node(100), node(i)) for i in range(101, 130)]
     links = spark.createDataFrame(pairs, "u struct<_id:long,_of:long>, v struct<_id:long,_of:long>")
