@@ -31,8 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from prowave.session import cut_lineage
-
 from . import textkernel as tk
 
 LENGTH = 20
@@ -191,17 +189,17 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     place = F.col("at").cast("long")
     marks = hits.groupBy("_row").agg(F.collect_list(place * 2 + F.col("hot").cast("long")).alias("seen"))
     found = _placed(docs).join(marks, "_row").select("_id", "_row", "doc_id", "text", "seen").mapInArrow(_windows(length), "key long, _id long, _row long, at int, hashes binary, mask int, hot boolean")
-    later = cut_lineage(found.repartition("key").sortWithinPartitions("key", "_id", "_row", "at").mapInArrow(_later, "_id long, _row long, at int, mask int, whole long"))
+    # Both uses of what is later read one exchange of the windows.
+    later = found.repartition("key").sortWithinPartitions("key", "_id", "_row", "at").mapInArrow(_later, "_id long, _row long, at int, mask int, whole long")
     # At most SALTS first ones of each hot window are left: all but the first of them are repeats too.
-    heads = later.filter("whole is not null").select("whole", F.struct("_id", "_row", "at").alias("own"))
-    least = heads.groupBy("whole").agg(F.min("own").alias("least"))
-    again = heads.join(least, "whole").filter(F.col("own") != F.col("least")).select("own._row", "own.at", F.lit(1).alias("mask"))
+    heads = later.filter("whole is not null").groupBy("whole").agg(F.array_sort(F.collect_list(F.struct("_id", "_row", "at"))).alias("own"))
+    again = heads.select(F.explode(F.slice("own", 2, SALTS)).alias("own")).select("own._row", "own.at", F.lit(1).alias("mask"))
     every = later.filter("mask > 0").select("_row", "at", "mask").unionByName(again)
     return every.groupBy("_row").agg(F.collect_list(place * 65536 + F.col("mask")).alias("gone"))
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """Texts dealt out by row key: the same exchange in both joins, so Spark makes it once."""
+    """Texts dealt out by row key: the same exchange in both joins, so Spark makes it once, if both read the same columns."""
     return _keyed(docs).repartition("_row")
 
 
@@ -258,7 +256,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> Data
     """
     if length - SEED + 1 > 16 or length < SEED:
         raise ValueError("length must be from SEED to SEED + 15")
-    joined = _placed(docs).join(repeats(docs, length), "_row", "left").select("doc_id", "text", F.coalesce("gone", F.array().cast("array<long>")).alias("gone"))
+    joined = _placed(docs).join(repeats(docs, length), "_row", "left").select("_id", "doc_id", "text", F.coalesce("gone", F.array().cast("array<long>")).alias("gone"))
     return joined.mapInArrow(_cut(length, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
 
 
