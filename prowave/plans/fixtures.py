@@ -17,7 +17,8 @@ def part_supplier(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Undirected part-supplier edges, and the number of nodes; a supplier's id follows the parts'."""
     parts = count_of(spark, sf_dir, "part")
     pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + parts).alias("dst")).distinct()
-    return pairs.unionAll(pairs.select("dst", "src")), parts + count_of(spark, sf_dir, "supplier")
+    both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))  # one pass over the pairs, where a union takes two
+    return pairs.select(both.alias("e")).select("e.*"), parts + count_of(spark, sf_dir, "supplier")
 
 
 SQL_PS = """g AS (SELECT DISTINCT l_partkey AS p, (SELECT count(*) FROM part) + l_suppkey AS s FROM lineitem),

@@ -153,7 +153,7 @@ def _converged_sql() -> str:
 def push_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Until no residual reaches its node's degree; the SQL unrolls more rounds than are needed, tests hold it against the bound."""
     e, n = fx.part_supplier(spark, sf_dir)
-    return round9(propagate.estimate(graph.weighted(e), fx.supplier_seed(spark, sf_dir), ["x", "y", "z"], n, ALPHA, EPSILON), "x", "y", "z")
+    return round9(propagate.estimate(e, fx.supplier_seed(spark, sf_dir), ["x", "y", "z"], n, ALPHA, EPSILON), "x", "y", "z")
 
 
 _SINK_START = f"w AS (SELECT {BUDGET_SQL.format(eps=EPSILON, gamma=1.0)} AS w FROM (SELECT count(*) AS n FROM nodes)), d AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src), s0 AS (SELECT c_custkey AS id, (c_acctbal / 10000 / (SELECT count(*) FROM customer)) * (SELECT w FROM w) AS r, 0.0::DOUBLE AS m FROM customer WHERE c_acctbal <> 0)"

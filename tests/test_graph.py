@@ -168,6 +168,51 @@ def test_a_push_reads_its_edges_once(spark, random_graph):
     assert reads.value - before <= 2 * len(edges)  # for the start's degrees and for the rounds
 
 
+@pytest.fixture
+def small_slices(spark, monkeypatch):
+    """Several packed rows a block, also of few edges."""
+    monkeypatch.setattr(propagate, "SLICE", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_push_writes_its_state_once_in_many_rounds(spark, random_graph, monkeypatch, small_slices):
+    """Each write is a job of its own; plain edges count their degrees themselves."""
+    edges, w, seeds, x = random_graph
+    writes, cut = [], propagate.cut_lineage
+    monkeypatch.setattr(propagate, "cut_lineage", lambda df: writes.append(1) or cut(df))
+    want = {r["id"]: r["x"] for r in propagate.estimate(w, seeds, ["x"], 60, 0.2, 0.05).collect()}
+    assert len(writes) <= 10
+    plain = spark.createDataFrame(edges, "src long, dst long")
+    got = {r["id"]: r["x"] for r in propagate.estimate(plain, seeds, ["x"], 60, 0.2, 0.05).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+    exact, deg = dense(60, edges, x[:, 0], 0.2), np.bincount([s for s, _ in edges], minlength=60)
+    assert all(abs(got.get(i, 0) - exact[i]) <= deg[i] / propagate.walk_budget(60, 0.05) for i in range(60))
+
+
+@pytest.mark.parametrize("own_weights", [False, True])
+def test_packed_rounds_are_the_single_ones(spark, random_graph, monkeypatch, small_slices, own_weights):
+    """Also in many slices and blocks, with weights of each edge, ends without a way out, null ends, and seeds given twice or outside the graph."""
+    edges, _, seeds, _ = random_graph
+    if own_weights:
+        monkeypatch.setattr(propagate, "BLOCK_EDGES", 25)
+    more = [(3, 1 << 40), (4, -7), (5, None), (6, 1 << 40)]
+    w = graph.weighted(spark.createDataFrame(edges + more, "src long, dst long"))
+    if own_weights:
+        w = w.withColumn("w", F.col("w") * (1 + F.col("dst") % 3 / 10))
+    e = propagate.two_ends(w.filter("dst is not null") if own_weights else w)
+    budget = propagate.walk_budget(60, 0.5)
+    state = propagate.start_state(e, seeds.select("id", "x", "y").unionAll(spark.createDataFrame([(2, 0.5, 0.0), (999, 0.25, -1.0)], "id long, x double, y double")), ["x", "y"], budget)
+    single = state.groupBy("id").agg(F.max("degree").alias("degree"), *[F.sum(c).alias(c) for c in ("r_x", "r_y", "m_x", "m_y")])
+    for _ in range(3):
+        single = propagate.push_round(e, single, ["x", "y"], 0.2, 20.0)
+    flat = lambda df: {(r["id"], c): float(r[c]) for r in df.collect() for c in ("degree", "r_x", "r_y", "m_x", "m_y")}
+    got, want = flat(propagate.push(e, state, ["x", "y"], 0.2, [20.0], rounds=3)), flat(single)
+    assert got.keys() == want.keys()
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-6)
+
+
 @pytest.mark.parametrize("hub", [1 << 20, 3])
 def test_places_of_hubs(spark, monkeypatch, hub):
     monkeypatch.setattr(graph, "HUB", hub)
