@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from prowave.session import cut_lineage
+from prowave.session import cut_lineage, forget_shuffles
 
 #: Edges of a packed row, edges of a block, and nodes of a block times columns, all at most.
-SLICE, BLOCK_EDGES, BLOCK_VALUES = 1 << 20, 1 << 22, 1 << 21
-#: Rounds that make one job of a push to the bound.
-JOB_ROUNDS = 8
+SLICE, BLOCK_EDGES, BLOCK_VALUES = 1 << 23, 3 << 21, 1 << 21
+#: Rounds that make one job of a push to the bound, and edges times rounds of one, both at most.
+JOB_ROUNDS, JOB_EDGES = 8, 1 << 28
 #: Stands for a null id in packed rows.
 NO_ID = -(1 << 63)
 
@@ -277,6 +277,16 @@ def _step(k: int, alpha: float, scale: float | None, keys: list[int]) -> Callabl
     return run
 
 
+def _gather(k: int) -> Callable:
+    """A block's state as one row, for writing; ``active`` is what the last round found."""
+
+    def run(now: pa.Table) -> pa.Table:
+        ids, r, m = _merged(now, k)
+        return _table([(now.column("key")[0].as_py(), ids.tobytes(), b"", r.tobytes(), m.tobytes(), sum(now.column("active").to_pylist()))], _STATE)
+
+    return run
+
+
 def _unpack(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,10 +297,15 @@ def _unpack(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def _kept(edges: DataFrame, columns: int) -> tuple[DataFrame, list[int]]:
-    """The edges packed by block and persisted, and the blocks' keys: as many blocks as the session has partitions, more where those would be too large."""
+def _kept(edges: DataFrame, columns: int) -> tuple[DataFrame, list[int], int]:
+    """The edges packed by block and persisted, the blocks' keys, and the number of edges.
+
+    What blocks send each other grows with their number, so it is an eighth of
+    the session's partitions, as packed edges are small; at least one for each
+    core, and more where blocks would be too large.
+    """
     spark = edges.sparkSession
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    blocks = max(spark.sparkContext.defaultParallelism, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     of = [F.col("degree").cast("long").alias("degree"), F.col("w").cast("double").alias("w")] if "w" in edges.columns else []
     edges = edges.filter("src is not null").select(F.col("src").cast("long").alias("src"), F.coalesce(F.col("dst").cast("long"), F.lit(NO_ID)).alias("dst"), *of)
     while True:
@@ -300,9 +315,9 @@ def _kept(edges: DataFrame, columns: int) -> tuple[DataFrame, list[int]]:
         n, nodes = kept.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_nodes"), F.lit(0))).first()
         need = max(-(-n // BLOCK_EDGES), -(-nodes * columns // BLOCK_VALUES))
         if need <= blocks:
-            return kept, keys
+            return kept, keys, n
         kept.unpersist()
-        blocks = 2 * need
+        blocks = need
 
 
 def push(edges: DataFrame, state: DataFrame, columns: list[str], alpha: float, scales: list[float] = [1], rounds: int = 10_000) -> DataFrame:  # noqa: B006
@@ -311,7 +326,8 @@ def push(edges: DataFrame, state: DataFrame, columns: list[str], alpha: float, s
     Edges without ``w`` weigh 1 / out-degree, counted as they are packed.
     """
     k, kind = len(columns), state.schema["id"].dataType
-    kept, keys = _kept(edges, k)
+    kept, keys, m = _kept(edges, k)
+    a_job = max(1, min(JOB_ROUNDS, JOB_EDGES // max(m, 1)))
     values = [F.coalesce(F.col(f"{x}_{c}").cast("double"), F.lit(0.0)).alias(f"{x}_{c}") for x in "rm" for c in columns]
 
     def stepped(now: DataFrame, scale: float | None) -> DataFrame:
@@ -322,10 +338,12 @@ def push(edges: DataFrame, state: DataFrame, columns: list[str], alpha: float, s
         for scale in scales:
             left = rounds
             while left > 0:
-                seen, n = Observation(), min(left, JOB_ROUNDS)
+                seen, n = Observation(), min(left, a_job)
                 for _ in range(n):
                     now = stepped(now, scale)
+                now = now.repartition(len(keys), "key").groupBy("key").applyInArrow(_gather(k), _STATE)
                 now, left = cut_lineage(now.observe(seen, F.sum("active").alias("n"))), left - n
+                forget_shuffles(edges.sparkSession)
                 if not seen.get["n"]:
                     break
         names = ", ".join(f"{x}_{c} double" for x in "rm" for c in columns)
